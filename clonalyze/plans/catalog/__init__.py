@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "basic"]
 
 
 def entries() -> dict:

@@ -96,4 +96,8 @@ def with_views(body: str, *names: str, extra: str = "") -> str:
     parts = [VIEW_SQL[n][1].strip() for n in _order(names)]
     if extra.strip():
         parts.append(extra.strip().rstrip(","))
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        # the body's own CTEs continue the list
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
