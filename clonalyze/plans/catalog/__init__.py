@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "basic"]
+MODULES = ["scoring", "basic", "evolution"]
 
 
 def entries() -> dict:
