@@ -93,3 +93,11 @@ def fill_vector(c, value: float = 0.0) -> Column:
 def vector_complete(c) -> Column:
     """B4 for arrays: no null / NaN element."""
     return ~F.exists(_c(c), lambda x: x.isNull() | F.isnan(x))
+
+
+def softmax_array(c) -> Column:
+    """H10 (array form): exp(x - max) / sum over one logit vector."""
+    c = _c(c)
+    e = F.transform(c, lambda x: F.exp(x - F.array_max(c)))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(e, lambda x: x / total)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "basic", "evolution"]
+MODULES = ["scoring", "basic", "evolution", "metrics"]
 
 
 def entries() -> dict:
