@@ -37,7 +37,11 @@ def _ascii_mod(aa: Column, pos: int, m: int) -> Column:
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per chain contig: keys, genes, seven regions."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", amino_acids(F.col("text")).alias("aa"))
+    # The letters of a whole document are derived once: a one-element explode is a
+    # Generate node, which keeps the length predicate below from being pushed under
+    # the projection (that would run the document-wide regexp twice per row).
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.explode(F.array(amino_acids(F.col("text")))).alias("aa"))
     k = (docs.filter(F.length("aa") >= MIN_AA)
          .withColumn("n3", (F.lit(8) + _ascii_mod(F.col("aa"), 3, 8)).cast("int"))
          .withColumn("chain", F.when(F.col("doc_id") % 4 == 1, "IGK").otherwise("IGH")))
