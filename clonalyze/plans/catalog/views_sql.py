@@ -97,6 +97,8 @@ def with_views(body: str, *names: str, extra: str = "") -> str:
     if extra.strip():
         parts.append(extra.strip().rstrip(","))
     body = body.strip()
+    if not parts:
+        return body
     if body[:5].upper() == "WITH ":
         # the body's own CTEs continue the list
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
