@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "basic", "evolution", "metrics", "vectors", "corpus"]
+MODULES = ["scoring", "basic", "evolution", "metrics", "vectors", "corpus", "ml"]
 
 
 def entries() -> dict:
