@@ -110,7 +110,7 @@ def spectral(edges: DataFrame, k: int, src: str = "src", dst: str = "dst", weigh
     """M11 (spectral): power iteration clustering on a sparse affinity graph
     (e.g. kNN edges with similarity weights); returns (id, cluster)."""
     e = edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), F.col(weight).cast("double").alias("weight"))
-    return PowerIterationClustering(k=k, weightCol="weight", seed=seed, maxIter=20).assignClusters(e)
+    return PowerIterationClustering(k=k, weightCol="weight", maxIter=20).assignClusters(e)
 
 
 def sweep_k(df: DataFrame, truth: str, ks: Sequence[int], vec: str = "vec", method: str = "bisecting") -> DataFrame:

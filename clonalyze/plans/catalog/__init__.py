@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "basic", "evolution", "metrics", "vectors", "corpus", "ml"]
+MODULES = ["scoring", "basic", "evolution", "metrics", "vectors", "corpus", "ml", "graph"]
 
 
 def entries() -> dict:
