@@ -20,12 +20,16 @@ HEADLINE = [
     "J6_scores_wide",
     "J7_combine_repertoire_scores",
     "J9_substitution_ranks",
-    "J10_velocity_to_germline",
+    "J10_velocity_lineage_edges",
+    "J11_C8_velocity_to_germline",
     "E13_roc_curve",
     "E16_token_metrics",
     "E18_pool_onehot",
     "J16_training_shards",
-    "E10_ari_by_cluster",
+    "E10_ari_by_sample",
+    "E15_macro_roc",
+    "J5_embed_modes",
+    "J13_node_metadata",
 ]
 
 
@@ -42,6 +46,7 @@ def main() -> None:
     reg[names[0]][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for n in names:
+        spark.catalog.clearCache()   # every query pays for its own inputs
         t0 = time.time()
         reg[n][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t0, 3)

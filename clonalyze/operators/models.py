@@ -38,25 +38,25 @@ def residues(df: DataFrame, seq: str | Column = "sequence", keep: Sequence[str]
              start: str | Column | None = None, end: str | Column | None = None, outer: bool = False) -> DataFrame:
     """H9: one row per residue in the 0-based half-open window [start, end).
 
-    With ``outer=True`` an empty window still gives one row (null ``pos``/``aa``),
-    so a score over it comes out null instead of the sequence disappearing.
-
     Each row carries its neighbours in the *whole* sequence (``^`` / ``$`` at the
     ends), so a context model sees the same surroundings whatever the window.
+    With ``outer=True`` an empty window still gives one row (null ``pos``/``aa``),
+    so a score over it comes out null instead of the sequence disappearing.
+    The window is cut from the letter array before the explode (no wasted rows),
+    and everything is built-in expressions (whole-stage codegen, no lambdas).
     """
     s = F.col(seq) if isinstance(seq, str) else seq
     lo = F.lit(0) if start is None else (F.col(start) if isinstance(start, str) else start)
     hi = F.length(s) if end is None else (F.col(end) if isinstance(end, str) else end)
-    n = F.length(s)
-    positions = F.when(hi > lo, F.sequence(lo.cast("int"), (hi - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    cell = lambda i: F.struct(
-        i.alias("pos"),
-        F.substring(s, i + 1, 1).alias("aa"),
-        F.when(i > 0, F.substring(s, i, 1)).otherwise(F.lit(START)).alias("left"),
-        F.when(i < n - 1, F.substring(s, i + 2, 1)).otherwise(F.lit(END)).alias("right"),
-    )
-    gen = F.inline_outer if outer else F.inline
-    return df.select(*keep, gen(F.transform(positions, cell)))
+    window = F.when(hi > lo, F.slice(F.split(s, ""), lo + 1, hi - lo)).otherwise(F.array().cast("array<string>"))
+    gen = F.posexplode_outer if outer else F.posexplode
+    x = df.select(*keep, s.alias("_s"), lo.cast("int").alias("_lo"), gen(window).alias("_p", "aa"))
+    pos = (F.col("_lo") + F.col("_p")).cast("int")
+    n = F.length("_s")
+    return x.select(
+        *keep, pos.alias("pos"), "aa",
+        F.when(F.col("aa").isNull(), None).when(pos > 0, F.substring("_s", pos, 1)).otherwise(F.lit(START)).alias("left"),
+        F.when(F.col("aa").isNull(), None).when(pos < n - 1, F.substring("_s", pos + 2, 1)).otherwise(F.lit(END)).alias("right"))
 
 
 def scorable(res: DataFrame) -> DataFrame:
@@ -86,23 +86,35 @@ class ContextModel:
 
     def table(self) -> DataFrame:
         """Full model for every observed context: (by, left, right, aa, n, total, prob), 20 rows per context."""
-        ctx = self.counts.groupBy(*self.by, "left", "right").agg(F.sum("n").alias("total"))
-        full = ctx.select(*self.by, "left", "right", "total", F.explode(alphabet_column()).alias("aa"))
-        full = full.join(self.counts, [*self.by, "left", "right", "aa"], "left")
-        n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+        ctx = self.counts.groupBy(*self.by, "left", "right").agg(
+            F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("_m"), F.sum("n").alias("total"))
+        full = ctx.select(*self.by, "left", "right", "_m", "total", F.explode(alphabet_column()).alias("aa"))
+        n = F.coalesce(F.element_at("_m", F.col("aa")), F.lit(0)).cast("long")
         return full.select(*self.by, "left", "right", "aa", n.alias("n"), "total",
                            ((n + 1) / (F.col("total") + len(ALPHABET))).alias("prob"))
 
+    def lookup_table(self) -> DataFrame:
+        """(by, left, right, aa, prob) for the 20 residues of every observed context.
+
+        Built in one pass over the count table: each context's counts become a
+        small map (at most 20 entries), so zero counts need no second join.
+        """
+        ctx = self.counts.groupBy(*self.by, "left", "right").agg(
+            F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("_m"), F.sum("n").alias("_total"))
+        full = ctx.select(*self.by, "left", "right", "_m", "_total", F.explode(alphabet_column()).alias("aa"))
+        n = F.coalesce(F.element_at("_m", F.col("aa")), F.lit(0))
+        return full.select(*self.by, "left", "right", "aa", ((n + 1) / (F.col("_total") + len(ALPHABET))).alias("_prob"))
+
     def lookup(self, res: DataFrame, aa: str = "aa") -> DataFrame:
-        """Attach prob of residue ``aa`` under the context of each row (unseen context -> 1/20)."""
-        counts = self.counts.withColumnRenamed("n", "_n").withColumnRenamed("aa", aa)
-        totals = self.counts.groupBy(*self.by, "left", "right").agg(F.sum("n").alias("_total"))
-        # Both sides are bounded by chains x 21 x 21 (x 20) rows: broadcast, no shuffle of res.
-        out = res.join(F.broadcast(totals), [*self.by, "left", "right"], "left")
-        out = out.join(F.broadcast(counts), [*self.by, "left", "right", aa], "left")
-        prob = (F.coalesce(F.col("_n"), F.lit(0)) + 1) / (F.coalesce(F.col("_total"), F.lit(0)) + len(ALPHABET))
-        prob = F.when(F.col(aa).isNotNull(), prob)
-        return out.withColumn("prob", prob.cast("double")).drop("_n", "_total")
+        """Attach prob of residue ``aa`` under the context of each row (unseen context -> 1/20).
+
+        The lookup table is bounded by chains x 21 x 21 x 20 rows: broadcast, so
+        the residue table is never shuffled for it.
+        """
+        t = self.lookup_table().withColumnRenamed("aa", aa)
+        out = res.join(F.broadcast(t), [*self.by, "left", "right", aa], "left")
+        prob = F.when(F.col(aa).isNotNull(), F.coalesce(F.col("_prob"), F.lit(1.0 / len(ALPHABET))))
+        return out.withColumn("prob", prob.cast("double")).drop("_prob")
 
 
 class ProfileModel:
@@ -121,18 +133,21 @@ class ProfileModel:
         return self
 
     def lookup(self, res: DataFrame, aa: str = "aa") -> DataFrame:
+        """Attach P(aa | group, pos); an unseen (group, position) gives 1/20.
+
+        The table has groups x positions x 20 rows (positions bounded by the
+        sequence length, groups by the gene nomenclature); the join key is
+        null-safe on the group, and AQE picks broadcast from the measured size.
+        """
         g = self.group
-        counts = self.counts.select(F.col(g).alias("_g"), F.col("pos").alias("_pos"), F.col("aa").alias("_aa"),
-                                    F.col("n").alias("_n"))
-        totals = self.counts.groupBy(g, "pos").agg(F.sum("n").alias("_total"))
-        totals = totals.select(F.col(g).alias("_g2"), F.col("pos").alias("_pos2"), "_total")
-        # groups x positions x 20 rows: positions are bounded by the sequence length,
-        # groups by the gene nomenclature; AQE decides broadcast from measured size.
-        out = res.join(totals, (res[g].eqNullSafe(totals["_g2"])) & (res["pos"] == totals["_pos2"]), "left")
-        out = out.join(counts, (out[g].eqNullSafe(counts["_g"])) & (out["pos"] == counts["_pos"]) & (out[aa] == counts["_aa"]), "left")
-        prob = (F.coalesce(F.col("_n"), F.lit(0)) + 1) / (F.coalesce(F.col("_total"), F.lit(0)) + len(ALPHABET))
+        ctx = self.counts.groupBy(g, "pos").agg(F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("_m"),
+                                                F.sum("n").alias("_total"))
+        t = ctx.select(F.col(g).alias("_g"), F.col("pos").alias("_pos"), "_m", "_total")
+        out = res.join(t, res[g].eqNullSafe(t["_g"]) & (res["pos"] == t["_pos"]), "left")
+        n = F.coalesce(F.element_at("_m", F.col(aa)), F.lit(0))
+        prob = (n + 1) / (F.coalesce(F.col("_total"), F.lit(0)) + len(ALPHABET))
         prob = F.when(F.col(aa).isNotNull(), prob)
-        return out.withColumn("prob", prob.cast("double")).drop("_g", "_pos", "_aa", "_n", "_g2", "_pos2", "_total")
+        return out.withColumn("prob", prob.cast("double")).drop("_g", "_pos", "_m", "_total")
 
 
 class ExternalProvider:

@@ -14,6 +14,7 @@ from clonalyze.operators.joins import natural_join
 from clonalyze.operators.likelihood import pseudo_log_likelihood
 from clonalyze.functions.residues import SKIP_CHARS
 from clonalyze.operators.models import ContextModel, ProfileModel, residues
+from clonalyze.session import materialize
 
 CONTIG_KEY = ["barcode", "contig_id", "chain", "v_gene", "d_gene", "j_gene", "c_gene", "raw_clonotype_id",
               "raw_consensus_id"]
@@ -109,6 +110,7 @@ def pll_by_isotype_family(contigs: DataFrame) -> DataFrame:
     heavy = contigs.filter(F.col("chain") == "IGH").select(
         "seq_id", collapse_isotype("c_gene").alias("isotype"), gene_family("v_gene").alias("v_family"),
         full_vdj().alias("sequence")).filter(F.col("sequence").isNotNull())
+    heavy = materialize(heavy)   # fitted on and scored against the same rows
     model = ContextModel().fit(heavy)
     res = residues(heavy, "sequence", keep=["seq_id", "isotype", "v_family"], outer=True)
     pll = pseudo_log_likelihood(model.lookup(res), ["seq_id", "isotype", "v_family"])

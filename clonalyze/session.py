@@ -60,3 +60,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never ``localCheckpoint``) into the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Keep a derived table that feeds several branches of one job (e.g. a model
+    fitted on the same rows it then scores) instead of deriving it twice.
+
+    Memory-and-disk persistence: a lost executor's blocks are recomputed from
+    lineage, so this is safe where ``localCheckpoint`` would not be.
+    """
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
