@@ -110,3 +110,9 @@ def input_columns(mode: str, prefix: str = "", general_col: str = "full_sequence
         start = F.when(seq.isNotNull(), F.lit(0))
         end = F.length(seq).cast("int")
     return seq, start, end
+
+
+# V-gene families of the known mouse allow-list, by rule
+# (IGHV1-IGHV15, IGKV1-IGKV20 without IGKV7 and IGKV18, IGLV1-IGLV3).
+KNOWN_V_FAMILIES = ([f"IGHV{i}" for i in range(1, 16)] + [f"IGKV{i}" for i in range(1, 21) if i not in (7, 18)]
+                    + [f"IGLV{i}" for i in range(1, 4)])

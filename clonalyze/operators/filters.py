@@ -117,3 +117,13 @@ def usable_edges(nodes: DataFrame, edges: DataFrame, group: str = "sample_clonot
 def equal_length(pairs: DataFrame, a: str = "seq_1", b: str = "seq_2") -> DataFrame:
     """Keep pairs whose sequences have equal length."""
     return pairs.filter(F.length(a) == F.length(b))
+
+
+def allowed_family(df, gene: str = "v_gene", out: str = "v_family_known"):
+    """V family if it is on the known list, else null (a 36-row dimension
+    table, broadcast: its size is fixed by the list, not by the data)."""
+    from clonalyze.functions.regions import KNOWN_V_FAMILIES, gene_family
+
+    dim = df.sparkSession.createDataFrame([(f,) for f in KNOWN_V_FAMILIES], f"{out} string")
+    x = df.withColumn("_fam", gene_family(gene))
+    return x.join(F.broadcast(dim), x["_fam"] == dim[out], "left").drop("_fam")
