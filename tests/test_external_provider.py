@@ -2,7 +2,6 @@
 
 import math
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from clonalyze.functions.residues import ALPHABET
@@ -10,19 +9,22 @@ from clonalyze.operators.likelihood import pseudo_log_likelihood
 from clonalyze.operators.models import ExternalProvider, residues
 
 
-def dummy_factory():
-    def model(seqs):
-        out = []
-        for s in seqs:
-            if "W" in s:
-                raise ValueError("model failed")
-            probs = {a: [0.5 if a == "A" else 0.5 / 19] * len(s) for a in ALPHABET}
-            out.append(pd.DataFrame(probs))
-        return out
-    return model
+def test_external_provider_scores_and_isolates_failures(spark):
+    # defined inside the test so the Python workers receive it by value
+    def dummy_factory():
+        import pandas as pd
 
+        alphabet = ALPHABET
+
+        def model(seqs):
+            out = []
+            for s in seqs:
+                if "W" in s:
+                    raise ValueError("model failed")
+                out.append(pd.DataFrame({a: [0.5 if a == "A" else 0.5 / 19] * len(s) for a in alphabet}))
+            return out
+        return model
 
-def test_external_provider_scores_and_isolates_failures(spark):
     df = spark.createDataFrame([(1, "AAC"), (2, "AWC"), (3, "AAC")], "seq_id long, sequence string")
     p = ExternalProvider(dummy_factory, "dummy")
     probs = p.matrices(df, "sequence")
