@@ -93,5 +93,11 @@ def kmer_word2vec(df: DataFrame, seq: str = "sequence", k: int = 3, size: int =
 
 
 def long_form(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
-    """(keys, dim, value): a vector table in long form (export / comparison)."""
-    return df.select(*keys, F.posexplode(vec).alias("dim", "value")).withColumn("dim", F.col("dim").cast("int"))
+    """(keys, dim, value): a vector table in long form (export / comparison).
+
+    ``posexplode_outer`` + a filter on the generated column: a plain posexplode
+    makes Catalyst infer ``size(vec) > 0`` and push it below the projections,
+    re-deriving the vector in an extra (non-codegen) filter.
+    """
+    x = df.select(*keys, F.posexplode_outer(vec).alias("dim", "value")).filter(F.col("dim").isNotNull())
+    return x.withColumn("dim", F.col("dim").cast("int"))

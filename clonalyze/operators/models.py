@@ -49,8 +49,11 @@ def residues(df: DataFrame, seq: str | Column = "sequence", keep: Sequence[str]
     lo = F.lit(0) if start is None else (F.col(start) if isinstance(start, str) else start)
     hi = F.length(s) if end is None else (F.col(end) if isinstance(end, str) else end)
     window = F.when(hi > lo, F.slice(F.split(s, ""), lo + 1, hi - lo)).otherwise(F.array().cast("array<string>"))
-    gen = F.posexplode_outer if outer else F.posexplode
-    x = df.select(*keep, s.alias("_s"), lo.cast("int").alias("_lo"), gen(window).alias("_p", "aa"))
+    # posexplode_outer either way: a plain posexplode makes Catalyst infer
+    # size(window) > 0 and push it under the projections (deriving the window twice)
+    x = df.select(*keep, s.alias("_s"), lo.cast("int").alias("_lo"), F.posexplode_outer(window).alias("_p", "aa"))
+    if not outer:
+        x = x.filter(F.col("_p").isNotNull())
     pos = (F.col("_lo") + F.col("_p")).cast("int")
     n = F.length("_s")
     return x.select(
