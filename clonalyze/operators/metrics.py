@@ -24,29 +24,39 @@ def _comb2(c: Column) -> Column:
     return c * (c - 1) / 2.0
 
 
-def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
-    """Give an ungrouped metric a constant group key, so every join is an equi-join."""
-    by = list(by)
-    if by:
-        return df, by, by
-    return df.withColumn("_all", F.lit(0)), ["_all"], []
+def _merge_rows(dfs, by: Sequence[str]) -> DataFrame:
+    """Combine per-group result rows of several aggregates without a join: union
+    them and take each column's one non-null value per group (a global aggregate
+    when there is no group)."""
+    u = dfs[0]
+    for d in dfs[1:]:
+        u = u.unionByName(d, allowMissingColumns=True)
+    vals = [c for c in u.columns if c not in by]
+    return u.groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in vals])
 
 
 def adjusted_rand_index(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """ARI of two labelings (per group ``by``); a zero denominator gives 1.0."""
-    df, by, out_by = _grouped(df, by)
+    """ARI of two labelings (per group ``by``); a zero denominator gives 1.0.
+
+    Contingency counts, then the three pair-count sums from one union and one
+    aggregation (no joins, no pairs of rows)."""
+    by = list(by)
     cont = df.groupBy(*by, a, b).agg(F.count("*").alias("nij"))
-    rows = cont.groupBy(*by, a).agg(F.sum("nij").alias("ai"))
-    cols = cont.groupBy(*by, b).agg(F.sum("nij").alias("bj"))
-    s_ij = cont.groupBy(*by).agg(F.sum(_comb2(F.col("nij"))).alias("s_ij"), F.sum("nij").alias("n"))
-    s_a = rows.groupBy(*by).agg(F.sum(_comb2(F.col("ai"))).alias("s_a"))
-    s_b = cols.groupBy(*by).agg(F.sum(_comb2(F.col("bj"))).alias("s_b"))
-    j = s_ij.join(s_a, by).join(s_b, by)
+    rows = cont.groupBy(*by, a).agg(F.sum("nij").alias("x"))
+    cols = cont.groupBy(*by, b).agg(F.sum("nij").alias("x"))
+    parts = (cont.select(*by, F.lit("ij").alias("_k"), F.col("nij").alias("x"))
+             .unionByName(rows.select(*by, F.lit("a").alias("_k"), "x"))
+             .unionByName(cols.select(*by, F.lit("b").alias("_k"), "x")))
+    j = parts.groupBy(*by).agg(
+        F.sum(F.when(F.col("_k") == "ij", _comb2(F.col("x")))).alias("s_ij"),
+        F.sum(F.when(F.col("_k") == "ij", F.col("x"))).alias("n"),
+        F.sum(F.when(F.col("_k") == "a", _comb2(F.col("x")))).alias("s_a"),
+        F.sum(F.when(F.col("_k") == "b", _comb2(F.col("x")))).alias("s_b"))
     expected = F.col("s_a") * F.col("s_b") / _comb2(F.col("n"))
     mx = (F.col("s_a") + F.col("s_b")) / 2.0
     den = mx - expected
     ari = F.when(den == 0, F.lit(1.0)).otherwise((F.col("s_ij") - expected) / den)
-    return j.select(*out_by, ari.alias("ari"))
+    return j.select(*by, ari.alias("ari"))
 
 
 def confusion(df: DataFrame, y: str = "label", p: str = "pred") -> DataFrame:
@@ -111,21 +121,25 @@ def roc(df: DataFrame, y: str = "label", s: str = "score", by: Sequence[str] = (
     Columns: (by..., threshold, fpr, tpr). Thresholds are the distinct scores; the
     start point has a null threshold.
     """
-    df, by, out_by = _grouped(df, by)
+    by = list(by)
     c = score_counts(df, y, s, by)
     cum = running_totals(c, F.col(s).desc(), ["pos", "neg"], by)
     tot = c.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.join(tot, by)
-    pts = j.select(*out_by, F.col(s).cast("double").alias("threshold"),
+    if by:
+        j = cum.join(tot, by)
+    else:   # two numbers: attach as literals instead of joining a one-row table
+        t = tot.first()
+        j = cum.withColumn("P", F.lit(t["P"])).withColumn("N", F.lit(t["N"]))
+    pts = j.select(*by, F.col(s).cast("double").alias("threshold"),
                    F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"), F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
-    start = tot.select(*out_by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = tot.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
 
 
 def binary_summary(df: DataFrame, y: str = "label", s: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """AUC (Mann-Whitney over distinct scores = trapezoid ROC area) and average
     precision (step sum: sum over thresholds of recall gain x precision)."""
-    df, by, out_by = _grouped(df, by)
+    by = list(by)
     c = score_counts(df, y, s, by)
     cum = running_totals(c, F.col(s).desc(), ["pos", "neg"], by)
     above = F.col("cum_pos") - F.col("pos")          # positives with a strictly higher score
@@ -133,7 +147,7 @@ def binary_summary(df: DataFrame, y: str = "label", s: str = "score", by: Sequen
         F.sum(F.col("neg") * (above + F.col("pos") / 2.0)).alias("mw"),
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("ap_num"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return per.select(*out_by, F.try_divide(F.col("mw"), F.col("P") * F.col("N")).alias("auc"),
+    return per.select(*by, F.try_divide(F.col("mw"), F.col("P") * F.col("N")).alias("auc"),
                       F.try_divide(F.col("ap_num"), F.col("P")).alias("aupr"), "P", "N")
 
 
@@ -143,7 +157,7 @@ def binary_metrics(df: DataFrame, y: str = "label", s: str = "score", pred: str
 
     The class is ``pred`` when given, else the score rounded half to even (H12).
     """
-    df, by, out_by = _grouped(df, by)
+    by = list(by)
     p = F.col(pred) if pred else F.bround(F.col(s), 0)
     t = F.col(y) == 1
     h = p == 1
@@ -159,7 +173,7 @@ def binary_metrics(df: DataFrame, y: str = "label", s: str = "score", pred: str
     acc = (tp + tn) / (tp + tn + fp + fn)
     m = counts.select(*by, prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), mcc.alias("mcc"), acc.alias("accuracy"))
     summ = binary_summary(df, y, s, by).select(*by, "auc", "aupr")
-    return m.join(summ, by).select(*out_by, "precision", "recall", "f1", "auc", "aupr", "mcc", "accuracy")
+    return _merge_rows([m, summ], by).select(*by, "precision", "recall", "f1", "auc", "aupr", "mcc", "accuracy")
 
 
 def one_vs_rest(df: DataFrame, y: str, probs: str, id: str = "id") -> DataFrame:
