@@ -34,7 +34,8 @@ def fit_models(training: DataFrame, names: Sequence[str] = ("context", "profile"
     return models
 
 
-def score(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
+def score(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence[str] = ("seq_id",),
+          id: str | None = "seq_id") -> DataFrame:
     """Long table (keys, model, mode, n_pos, pll) for every mode and model.
 
     One pass: each contig row is exploded over the modes, then over its residues;
@@ -42,7 +43,16 @@ def score(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence
     model tables), and one aggregation per (keys, mode) gives all the models'
     scores, unpivoted at the end. Rows whose mode input is null (a missing
     region) are dropped, as the scoring scripts do.
+
+    When the rows have a unique ``id``, only that id travels through the
+    exploded residue table (about 120 rows per sequence) and the other key
+    columns are joined back to the per-sequence scores.
     """
+    keys = list(keys)
+    if id and id in contigs.columns and len(keys) > 1 and id in keys:
+        narrow = score(contigs, modes, models, [id], id=None)
+        meta = contigs.select(*keys)
+        return narrow.join(meta, id).select(*keys, "model", "mode", "n_pos", "pll")
     specs = []
     for mode in modes:
         seq, start, end = input_columns(mode)
