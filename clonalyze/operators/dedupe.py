@@ -56,9 +56,14 @@ def rank_within(df: DataFrame, keys, order, out: str = "_rank") -> DataFrame:
     rows spans many range partitions, so the work stays spread. ``order`` must end
     with a unique column for a deterministic result.
     """
+    from clonalyze.session import cut_lineage
+
     keys, order = _keys(keys), _keys(order)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_pid", F.spark_partition_id())
+    # The range bounds come from a sample and are not stable between two
+    # evaluations, so the partitioned rows are checkpointed once and both the
+    # local numbering and the offsets read the same copy.
+    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
     counts = ranged.groupBy(*keys, "_pid").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -96,9 +96,12 @@ def running_totals(df: DataFrame, order: Column, cols: Sequence[str], by: Sequen
     a single-partition window: range-partition on (by, order), sum locally, then add
     the totals of the earlier partitions of the same group (a table of at most
     partitions x groups rows, broadcast)."""
+    from clonalyze.session import cut_lineage
+
     by = list(by)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in by], order).withColumn("_pid", F.spark_partition_id())
+    # checkpointed once: range bounds from sampling differ between evaluations
+    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(c) for c in by], order).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in cols])
     part = ranged.groupBy(*by, "_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
