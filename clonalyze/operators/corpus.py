@@ -54,23 +54,36 @@ def label_arrays(tokens: DataFrame, keys: Sequence[str] = ("seq_id",), pos: str
     return g.select(*keys, F.transform("_t", lambda t: t[aa]).alias("residues"), F.transform("_t", lambda t: t[label]).alias("labels"))
 
 
-def masked_lm(input_ids: Column, key: Column, rate: float = MLM_RATE) -> Column:
-    """(masked_ids, mlm_labels). Non-special tokens are selected when
-    md5(key:i) < rate; a selected token becomes <mask> (80 %), a random residue
-    (10 %) or stays (10 %); labels hold the original id where selected, -100 elsewhere."""
+def _hex_unit(h: Column, k: int) -> Column:
+    """Uniform [0, 1) from the k-th group of 8 hex digits of an md5 string."""
+    return F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long") / HASH_SCALE
+
+
+def token_hashes(input_ids: Column, key: Column) -> Column:
+    """md5(key:i) for every token position i."""
+    return F.transform(input_ids, lambda x, i: F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"))))
+
+
+def masked_lm(input_ids: Column, key: Column, rate: float = MLM_RATE, hashes: Column | None = None) -> Column:
+    """(masked_ids, mlm_labels). Token i of a row hashes md5(key:i) once;
+    its first 8 hex digits select non-special tokens (< rate), the next 8 choose
+    the replacement (<mask> 80 %, random residue 10 %, unchanged 10 %) and the
+    next 8 the random residue. Labels hold the original id where selected, -100
+    elsewhere."""
     n_special = len(SPECIAL_TOKENS)
+    hashes = token_hashes(input_ids, key) if hashes is None else hashes
 
-    def sel(x, i):
-        return (x >= n_special) & (unit_hash(key, i) < rate)
+    def sel(x, h):
+        return (x >= n_special) & (_hex_unit(h, 0) < rate)
 
-    def replace(x, i):
-        r = unit_hash(key, i, "r")
-        rnd = (F.lit(n_special) + (unit_hash(key, i, "t") * len(ALPHABET)).cast("int"))
-        return (F.when(~sel(x, i), x).when(r < MLM_MASK, F.lit(SPECIAL_TOKENS["<mask>"]))
+    def replace(x, h):
+        r = _hex_unit(h, 1)
+        rnd = F.lit(n_special) + (_hex_unit(h, 2) * len(ALPHABET)).cast("int")
+        return (F.when(~sel(x, h), x).when(r < MLM_MASK, F.lit(SPECIAL_TOKENS["<mask>"]))
                 .when(r < MLM_MASK + MLM_RANDOM, rnd).otherwise(x))
 
-    masked = F.transform(input_ids, lambda x, i: replace(x, i))
-    labels = F.transform(input_ids, lambda x, i: F.when(sel(x, i), x).otherwise(F.lit(IGNORE)))
+    masked = F.zip_with(input_ids, hashes, replace)
+    labels = F.zip_with(input_ids, hashes, lambda x, h: F.when(sel(x, h), x).otherwise(F.lit(IGNORE)))
     return F.struct(masked.alias("masked_ids"), labels.alias("mlm_labels"))
 
 
@@ -79,7 +92,9 @@ def training_shards(corpus: DataFrame, seq: str = "sequence", key: str = "seq_id
     """Tokenised, padded sequences with attention / special masks and masked-LM inputs."""
     t = corpus.select(key, tokenize(F.col(seq), max_len).alias("_t"))
     t = t.select(key, "_t.*")
-    return t.withColumn("_m", masked_lm(F.col("input_ids"), F.col(key), rate)).select(
+    # hashes projected once as a column; both output arrays read it
+    t = t.withColumn("_h", token_hashes(F.col("input_ids"), F.col(key)))
+    return t.withColumn("_m", masked_lm(F.col("input_ids"), F.col(key), rate, F.col("_h"))).select(
         key, "input_ids", "attention_mask", "special_tokens_mask", "_m.masked_ids", "_m.mlm_labels")
 
 

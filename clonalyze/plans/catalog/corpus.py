@@ -89,11 +89,14 @@ def h15(spark, sf):
 
 
 def _mlm_sql() -> str:
-    key = "CAST(seq_id AS VARCHAR)"
-    sel = f"(x >= 5 AND {_u(key, 'CAST(i - 1 AS VARCHAR)')} < 0.15)"
-    r = _u(key, "CAST(i - 1 AS VARCHAR)", "'r'")
-    rnd = f"CAST(5 + floor({_u(key, 'CAST(i - 1 AS VARCHAR)', chr(39) + 't' + chr(39))} * 20) AS INT)"
-    masked = f"list_transform(ids, lambda x, i: CASE WHEN NOT {sel} THEN x WHEN {r} < 0.8 THEN 4 WHEN {r} < 0.9 THEN {rnd} ELSE x END)"
+    h = "md5(concat_ws(':', CAST(seq_id AS VARCHAR), CAST(i - 1 AS VARCHAR)))"
+
+    def hx(k: int) -> str:
+        return f"(CAST(('0x' || substr({h}, {8 * k + 1}, 8)) AS BIGINT) / 4294967296.0)"
+
+    sel = f"(x >= 5 AND {hx(0)} < 0.15)"
+    masked = (f"list_transform(ids, lambda x, i: CASE WHEN NOT {sel} THEN x WHEN {hx(1)} < 0.8 THEN 4 "
+              f"WHEN {hx(1)} < 0.9 THEN CAST(5 + floor({hx(2)} * 20) AS INT) ELSE x END)")
     labels = f"list_transform(ids, lambda x, i: CASE WHEN {sel} THEN x ELSE -100 END)"
     return f"""WITH f AS (SELECT seq_id, {_tok_sql('s', 150)} AS fl FROM (SELECT seq_id, {K.FULL} AS s FROM contigs WHERE chain = 'IGH') z WHERE s IS NOT NULL),
 p AS (SELECT seq_id, list_concat(fl, list_transform(range(150 - len(fl)), lambda x: 1)) AS ids FROM f)
