@@ -72,3 +72,23 @@ def materialize(df: DataFrame) -> DataFrame:
     from pyspark import StorageLevel
 
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20,
+                   max_partitions: int = 100_000) -> int:
+    """Size shuffles and file splits for an input of ``input_bytes``.
+
+    Shuffle partitions ~ input / target (so a partition's share of a wide stage
+    stays near ``target_bytes`` and spills little); AQE then coalesces small
+    ones and splits skewed ones. Values the caller already set explicitly are
+    kept. Returns the shuffle partition count in effect.
+    """
+    want = max(200, min(max_partitions, -(-input_bytes // target_bytes)))
+    if spark.conf.get("spark.sql.shuffle.partitions", "200") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(want))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    if spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20)) == str(128 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
