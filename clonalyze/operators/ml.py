@@ -58,12 +58,35 @@ def standardise(train: DataFrame, df: DataFrame, vec: str = "vec", with_mean: bo
                                          lambda x, sd: F.when(F.lit(with_std) & (sd > 0), x / sd).otherwise(x)))
 
 
+def random_fourier_features(df: DataFrame, vec: str = "vec", dims: int = 128, gamma: float | None = None, seed: int = 42,
+                            out: str = "rff") -> DataFrame:
+    """M5 (RBF kernel): z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi),
+    so that z(x).z(y) approximates exp(-gamma |x - y|^2); a linear model on z acts
+    like an RBF-kernel model. W and b are D x d literals (bounded by the feature
+    widths, not the data); the map is a column expression."""
+    import numpy as np
+
+    d = len(df.select(vec).first()[0])
+    gamma = gamma if gamma is not None else 1.0 / d
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dims, d))
+    b = rng.uniform(0.0, 2 * np.pi, size=dims)
+    scale = float(np.sqrt(2.0 / dims))
+    feats = []
+    for j in range(dims):
+        wj = F.array(*[F.lit(float(x)) for x in w[j]])
+        dot = F.aggregate(F.zip_with(F.col(vec), wj, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        feats.append(F.cos(dot + F.lit(float(b[j]))) * scale)
+    return df.withColumn(out, F.array(*feats))
+
+
 def classifiers(n_features: int, n_classes: int, seed: int = 42) -> dict:
     """M4-M8: the five model families (MLP with one hidden layer of dims/2 nodes)."""
     hidden = max(2, n_features // 2)
     return {
         "neural_network": MultilayerPerceptronClassifier(layers=[n_features, hidden, n_classes], maxIter=3 * n_features, seed=seed),
         "svm": OneVsRest(classifier=LinearSVC(maxIter=50)),
+        "svm_rbf": OneVsRest(classifier=LinearSVC(maxIter=50)),          # on random Fourier features
         "random_forest": RandomForestClassifier(numTrees=100, seed=seed),
         "naive_bayes": NaiveBayes(modelType="gaussian"),
         "logistic_regression": LogisticRegression(maxIter=100),
@@ -88,8 +111,12 @@ def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", i
     out = None
     for name in models or list(fam):
         est = fam[name]
-        tr = train.select(id, F.col(label).cast("double").alias("label"), array_to_vector(vec).alias("features"))
-        te = test.select(id, F.col(label).cast("double").alias("label"), array_to_vector(vec).alias("features"))
+        col = vec
+        tr_src, te_src = train, test
+        if name == "svm_rbf":
+            tr_src, te_src, col = random_fourier_features(train, vec), random_fourier_features(test, vec), "rff"
+        tr = tr_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
+        te = te_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
         pred = est.fit(tr).transform(te)
         prob = vector_to_array("probability") if "probability" in pred.columns else F.lit(None).cast("array<double>")
         p = pred.select(F.lit(name).alias("model"), id, F.col("label").cast("int").alias("label"),

@@ -59,3 +59,13 @@ def test_running_totals_independent_of_partitions(spark):
     got = {r.s: r.cum_v for r in M.running_totals(df, F.col("s").desc(), ["v"], ["g"]).collect()}
     for s in range(200):
         assert got[s] == sum(x % 3 for x in range(s, 200) if x % 2 == s % 2)
+
+
+def test_random_fourier_features_approximate_rbf(spark):
+    from clonalyze.operators.ml import random_fourier_features
+
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.3, 0.1]), (3, [1.0, 0.5])], "id long, vec array<double>")
+    z = {r.id: r.rff for r in random_fourier_features(df, "vec", dims=3000, gamma=0.5, seed=3).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for i, j, d2 in [(1, 2, 0.1), (1, 3, 1.25), (2, 3, 0.65)]:
+        assert abs(dot(z[i], z[j]) - math.exp(-0.5 * d2)) < 0.08
