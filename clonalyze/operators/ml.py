@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
@@ -62,22 +64,22 @@ def random_fourier_features(df: DataFrame, vec: str = "vec", dims: int = 128, ga
                             out: str = "rff") -> DataFrame:
     """M5 (RBF kernel): z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi),
     so that z(x).z(y) approximates exp(-gamma |x - y|^2); a linear model on z acts
-    like an RBF-kernel model. W and b are D x d literals (bounded by the feature
-    widths, not the data); the map is a column expression."""
-    import numpy as np
-
+    like an RBF-kernel model. W and b are D x d constants (bounded by the feature
+    widths, not the data); the projection is one numpy product per Arrow batch."""
     d = len(df.select(vec).first()[0])
     gamma = gamma if gamma is not None else 1.0 / d
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dims, d))
+    w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(d, dims))
     b = rng.uniform(0.0, 2 * np.pi, size=dims)
     scale = float(np.sqrt(2.0 / dims))
-    feats = []
-    for j in range(dims):
-        wj = F.array(*[F.lit(float(x)) for x in w[j]])
-        dot = F.aggregate(F.zip_with(F.col(vec), wj, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-        feats.append(F.cos(dot + F.lit(float(b[j]))) * scale)
-    return df.withColumn(out, F.array(*feats))
+
+    @F.pandas_udf("array<double>")
+    def project(v: pd.Series) -> pd.Series:
+        x = np.vstack(v.to_numpy()) if len(v) else np.zeros((0, d))
+        z = np.cos(x @ w + b) * scale
+        return pd.Series(list(z))
+
+    return df.withColumn(out, project(F.col(vec)))
 
 
 def classifiers(n_features: int, n_classes: int, seed: int = 42) -> dict:
@@ -113,8 +115,10 @@ def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", i
         est = fam[name]
         col = vec
         tr_src, te_src = train, test
-        if name == "svm_rbf":
-            tr_src, te_src, col = random_fourier_features(train, vec), random_fourier_features(test, vec), "rff"
+        if name == "svm_rbf":   # projected once, kept for the iterative fits
+            from clonalyze.session import materialize
+
+            tr_src, te_src, col = materialize(random_fourier_features(train, vec)), random_fourier_features(test, vec), "rff"
         tr = tr_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
         te = te_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
         pred = est.fit(tr).transform(te)
