@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,15 @@ BATCH_ROWS = 4096
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of one Arrow batch in this session, unless the caller already set a bound."""
+    """Bound the bytes of one Arrow batch in this session, unless the caller already set a bound.
+
+    Also lets Python workers on this machine import the package from where the driver did;
+    on a cluster it is installed on the executors like any other library.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

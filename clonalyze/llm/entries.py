@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonalyze.llm import bpe, exact_dedup, mix, simhash, toxicity
+from clonalyze.llm import ann, bpe, exact_dedup, lang_id, license_scan, mix, pii, simhash, toxicity, warc
 from clonalyze.llm.common import table
 
 
@@ -33,6 +33,44 @@ FROM n
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, and the known licence sentences in it."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                        F.array_join("fragments", ",").alias("fragments"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC and read back from the archives."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.archive_pages(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+# base32 has no function in DuckDB: the digest's 40 hex digits are read as 32 groups of 5 bits
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(CAST(substr(bits, 5 * i + 1, 5) AS BIT) AS INT), 1), '' ORDER BY i) AS digest
+  FROM (SELECT h, list_aggregate(list_transform(range(1, 41), x -> right(CAST(CAST(strpos('0123456789abcdef', substr(h, CAST(x AS INT), 1)) - 1 AS INT)::BIT AS VARCHAR), 4)), 'string_agg', '') AS bits
+        FROM (SELECT DISTINCT h FROM p)) x, range(32) r(i)
+  GROUP BY h),
+g AS (SELECT t, max(page_id) AS top FROM p WHERE page_id IS NOT NULL GROUP BY t)
+SELECT p.page_id, CAST(octet_length(encode(p.t)) AS BIGINT) AS payload_bytes, b.digest AS payload_digest,
+  CASE WHEN p.page_id < g.top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < g.top THEN g.top END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p JOIN b USING (h) LEFT JOIN g ON p.t = g.t
+"""
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    out = lang_id.held_out(F.col("doc_id"))
+    models = lang_id.train(docs.filter(~out).select("doc_id", "text", "lang"))
+    found = lang_id.predict(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -72,12 +110,23 @@ FROM c
 """
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every fiftieth."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,8 +143,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
+    "op3_license_scan": (op3_license_scan, None),
+    "op4_warc": (op4_warc, OP4_SQL),
+    "op5_language_id": (op5_language_id, None),
     "op6_mix_sources": (op6_mix_sources, OP6_SQL),
+    "op7_nearest_neighbours": (op7_nearest_neighbours, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
+    "op9_personal_data": (op9_personal_data, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
     "pipeline": (pipeline, None),
 }
