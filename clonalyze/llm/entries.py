@@ -51,7 +51,7 @@ OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
 b AS (
   SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(CAST(substr(bits, 5 * i + 1, 5) AS BIT) AS INT), 1), '' ORDER BY i) AS digest
-  FROM (SELECT h, list_aggregate(list_transform(range(1, 41), x -> right(CAST(CAST(strpos('0123456789abcdef', substr(h, CAST(x AS INT), 1)) - 1 AS INT)::BIT AS VARCHAR), 4)), 'string_agg', '') AS bits
+  FROM (SELECT h, list_aggregate(list_transform(range(1, 41), lambda x: right(CAST(CAST(strpos('0123456789abcdef', substr(h, CAST(x AS INT), 1)) - 1 AS INT)::BIT AS VARCHAR), 4)), 'string_agg', '') AS bits
         FROM (SELECT DISTINCT h FROM p)) x, range(32) r(i)
   GROUP BY h),
 g AS (SELECT t, max(page_id) AS top FROM p WHERE page_id IS NOT NULL GROUP BY t)
