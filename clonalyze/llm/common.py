@@ -14,7 +14,7 @@ from clonalyze.session import ensure_checkpoint_dir
 from clonalyze.sources.tables import table
 
 __all__ = ["table", "bounded_batches", "shared_path", "staged", "shuffle_partitions", "broadcast_if_small",
-           "hot_aware_lookup", "Memo", "passed_through"]
+           "hot_aware_lookup", "Memo", "passed_through", "plain_names"]
 
 #: Arrow batch bound for Python stages: a worker holds a few batches of this size, however long the texts are.
 BATCH_BYTES = 8 << 20
@@ -145,3 +145,9 @@ def passed_through(df: DataFrame, used: Sequence[str], compute, added: Sequence[
     fresh = [x for x, _ in added]
     return out.select(*[F.col(f"_p{i}").alias(c) for i, c in enumerate(names) if c not in fresh],
                       *[F.col(f"_p{n + i}").alias(c) for i, c in enumerate(fresh)])
+
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns _n0, _n1, ... that clash with nothing, and the new name of each column."""
+    pos = {c: f"_n{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(pos[c]) for c in df.columns]), pos

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clonalyze.llm.common import bounded_batches, shuffle_partitions, staged
+from clonalyze.llm.common import bounded_batches, plain_names, shuffle_partitions, staged
 
 PREFIX = 48
 _WS = b" \t\n\x0b\x0c\r"
@@ -143,7 +143,7 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text counts as empty; null identifiers sort after all others, so they stay only
     where every row of the group has none (``_keep_id`` is then null). Repeated rows are
     equal texts like any other: one of them stays. An empty table gives an empty result.
-    Columns whose names start with ``_xd_`` are reserved; others are passed through.
+    Columns of these names are replaced, all others pass through.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -174,7 +174,8 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            .join(inner, F.col("_run") == F.col("_in_run"), "left"))
     at_edge = F.col("_edge_run").isNotNull()
     return out.select(
-        *[F.col(pos[c]).alias(c) for c in df.columns if carry_text or c != text_col],
+        *[F.col(pos[c]).alias(c) for c in df.columns
+          if (carry_text or c != text_col) and c not in ("_keep_id", "_kept", "_group_size", "_sha256")],
         F.when(at_edge, F.col("_keep_all")).otherwise(F.col("_keep")).alias("_keep_id"),
         (F.col("_first") & F.coalesce(F.col("_run") == F.col("_keep_run"), F.lit(True))).alias("_kept"),
         F.coalesce("_edge_rows", "_in_rows", F.lit(1)).cast("long").alias("_group_size"),
@@ -183,4 +184,5 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of equal normalised texts, the one with the smallest identifier."""
-    return content_sort(df, id_col, text_col).filter("_kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    own, pos = plain_names(df)
+    return content_sort(own, pos[id_col], pos[text_col]).filter("_kept").select(*[F.col(pos[c]).alias(c) for c in df.columns])

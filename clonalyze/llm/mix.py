@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonalyze.llm.common import broadcast_if_small, staged
+from clonalyze.llm.common import broadcast_if_small, plain_names, staged
 from clonalyze.operators.dedupe import rank_within
 
 HASH_BITS = 60
@@ -98,7 +98,7 @@ def mix(df: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5,
     """Every row of ``df`` with the decision on it.
 
     Adds ``_size`` (words), ``_source_size``, ``_target`` (of the source) and ``_copies``
-    (times the mix takes the document). Null text has size 0; a null source is a source
+    (times the mix takes the document), in place of columns of these names. Null text has size 0; a null source is a source
     like any other, last in order; rows with the same identifier share their hash and are
     taken together, null identifiers too. A source without words has target 0. An empty
     table gives an empty result. Reruns agree: the hash is of the identifier alone.
@@ -116,13 +116,14 @@ def mix(df: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5,
     h = id_hash(F.col(pos[id_col]))
     extra = (h < F.col("_mx__below")) | ((h == F.col("_mx__below")) & F.col("_mx__at"))
     return joined.select(
-        *[F.col(pos[c]).alias(c) for c in names], words(F.col(pos[text_col])).alias("_size"),
+        *[F.col(pos[c]).alias(c) for c in names if c not in ("_size", "_source_size", "_target", "_copies")], words(F.col(pos[text_col])).alias("_size"),
         F.col("_mx_source_size").alias("_source_size"), F.col("_mx_target").alias("_target"),
         (F.col("_mx__whole") + F.when(extra, 1).otherwise(0)).cast("long").alias("_copies"))
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as it is taken."""
-    taken = mix(df, **options)
+    own, pos = plain_names(df)
+    taken = mix(own, id_col=pos[id_col], text_col=pos[text_col], source_col=pos[source_col], **options)
     return (taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-            .select(*[F.col(f"`{c}`") for c in df.columns]))
+            .select(*[F.col(pos[c]).alias(c) for c in df.columns]))

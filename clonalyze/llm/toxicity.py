@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonalyze.llm.common import Memo, bounded_batches, passed_through, staged
+from clonalyze.llm.common import Memo, bounded_batches, passed_through, plain_names, staged
 
 TRAIN_ROWS = 20_000
 FEATURES = 2048
@@ -185,6 +185,6 @@ def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at:
 
 def drop_toxic(df: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
     """The rows of ``df`` that the model doesn't reject."""
-    own = df.select(*[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(df.columns)])
-    kept = score(own, model, f"_t{df.columns.index(text_col)}", reject_at).filter(~F.col("toxic"))
-    return kept.select(*[F.col(f"_t{i}").alias(c) for i, c in enumerate(df.columns)])
+    own, pos = plain_names(df)
+    kept = score(own, model, pos[text_col], reject_at).filter(~F.col("toxic"))
+    return kept.select(*[F.col(pos[c]).alias(c) for c in df.columns])
