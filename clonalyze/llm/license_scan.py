@@ -112,8 +112,8 @@ RULES = [
 ]
 # ---- end of fixed values ----------------------------------------------------------
 
-_SENTENCE_END = re.compile(r"(?<=[.!?:;])\s+|\n[ \t\r]*\n\s*")
-_LINE_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
+_SENTENCE_END = re.compile(r"(?<=[.!?:;])(?<!\bv\.)\s+|\n[ \t\r]*\n\s*")
+_LINE_END = re.compile(r"(?<=[.!?])(?<!\bv\.)[ \t]+|[\r\n]+")
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
 _FIRST_WORD = re.compile(r"[\W_]*([^\W_]+)")
 _NOT_WORD = re.compile(r"[\W_]+")

@@ -26,6 +26,16 @@ from clonalyze.llm.common import staged
 
 CONTEXT = 40        # characters of context on each side of a span
 ROUNDS = 12         # of expectation-maximisation
+PRIOR_SHARE = 0.1   # weight of the expected reliabilities against the data
+
+#: By labeler and vote: P(vote | personal), P(vote | not) that it is expected to have.
+EXPECTED = {
+    "v_format": {1: (0.9, 0.6), 0: (0.08, 0.2), -1: (0.02, 0.2)},
+    "v_check": {1: (0.9, 0.6), 0: (0.08, 0.2), -1: (0.02, 0.2)},
+    "v_gazetteer": {1: (0.6, 0.2), 0: (0.38, 0.6), -1: (0.02, 0.2)},
+    "v_context": {1: (0.5, 0.05), 0: (0.48, 0.45), -1: (0.02, 0.5)},
+    "v_boundary": {1: (0.95, 0.7), 0: (0.0, 0.0), -1: (0.05, 0.3)},
+}
 
 # ---- fixed values: patterns and gazetteers ----------------------------------------
 
@@ -156,7 +166,8 @@ def _labelled(spans: DataFrame) -> DataFrame:
     cue = F.arrays_overlap(words, F.element_at(cues, kind))
     against = F.exists(F.slice(F.reverse(F.filter(words, lambda x: x != "")), 1, 1), lambda x: x.isin(AGAINST))
     luhn = F.when(kind == "card", _luhn(digits)).otherwise(F.lit(None))
-    strict = (F.when(kind == "email", span.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}$"))
+    plain = F.regexp_replace(F.regexp_replace(span, r"\x20?(\[at\]|\(at\))\x20?", "@"), r"\x20?(\[dot\]|\(dot\))\x20?", ".")
+    strict = (F.when(kind == "email", plain.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}$"))
               .when(kind == "ip", span.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"))
               .when(kind == "card", span.rlike(r"^([0-9]{16,19}|([0-9]{4}[ -]){3}[0-9]{4,7})$"))
               .when(kind == "phone", span.rlike(r"^(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}$"))
@@ -187,10 +198,10 @@ def _reliabilities(patterns: DataFrame, rounds: int) -> tuple[float, dict[str, d
     """Prior, and P(vote | personal), P(vote | not) by labeler and vote, by expectation-maximisation.
 
     ``patterns`` counts candidates by their votes: a row per combination. A round is one
-    aggregation of it to a single row. All estimates are smoothed by one vote each way.
+    aggregation of it to a single row. A share of ``EXPECTED`` in the estimates keeps which of the
+    two classes is the personal one.
     """
-    prior = 0.5
-    p = {v: {1: (0.8, 0.2), 0: (0.5, 0.5), -1: (0.1, 0.5)} for v in VOTES}
+    prior, p = 0.5, EXPECTED
     for _ in range(rounds):
         q = posterior(prior, p)
         weighted = patterns.withColumn("q", q)
@@ -203,11 +214,10 @@ def _reliabilities(patterns: DataFrame, rounds: int) -> tuple[float, dict[str, d
         if not r["all"]:
             break
         yes, no = r["yes"], r["all"] - r["yes"]
-        prior = min(0.999, max(0.001, (yes + 1) / (yes + no + 2)))
-        p = {v: {x: ((r[f"{v}_{x}_y"] + 1) / (yes + 3), (r[f"{v}_{x}_a"] - r[f"{v}_{x}_y"] + 1) / (no + 3)) for x in (1, 0, -1)} for v in VOTES}
-        # an abstention says nothing about the span
-        for v in VOTES:
-            p[v][0] = (1.0, 1.0)
+        own = 1 + PRIOR_SHARE * r["all"]     # rows' worth of the expectation
+        prior = (yes + own) / (yes + no + 2 * own)
+        p = {v: {x: ((r[f"{v}_{x}_y"] + own * EXPECTED[v][x][0]) / (yes + own), (r[f"{v}_{x}_a"] - r[f"{v}_{x}_y"] + own * EXPECTED[v][x][1]) / (no + own))
+                 for x in (1, 0, -1)} for v in VOTES}
     return prior, p
 
 
