@@ -7,8 +7,8 @@ calibrated: against the exact neighbours of a sample of queries (found in blocks
 vectors) the visits are widened until ``RECALL`` of the neighbours lie in visited leaves.
 
 Equal vectors are one entry with its smallest identifiers, as many as any answer can need,
-so a hot vector costs one row. Leaves are cut into blocks of rows and of queries, and a task
-holds one block of each.
+so a hot vector costs one row. Neighbouring leaves share a bin; a bin is cut into blocks of rows
+and of queries, and a task holds one block of each.
 """
 
 from __future__ import annotations
@@ -123,18 +123,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _best(queries: np.ndarray, q_units: np.ndarray, rows: np.ndarray, r_units: np.ndarray, ids: list[list[int]], keep: int):
-    """(query, vec_id, score) of the ``keep`` best identifiers of the block, for every query."""
-    for at in range(0, len(queries), 256):
-        near = q_units[at:at + 256] @ r_units.T
-        kth = np.partition(near, len(rows) - keep, axis=1)[:, len(rows) - keep] if len(rows) > keep else np.full(len(near), -np.inf)
-        for j, row in enumerate(near):
-            cand = np.flatnonzero(row >= kth[j] - 1e-9)     # ties are settled by the exact score
-            score = cosine(queries[at + j][None, :], rows[cand])
-            # every identifier of the answer is in a class that scores at least the keep-th best class
-            least = np.partition(score, len(score) - keep)[len(score) - keep] if len(score) > keep else -np.inf
-            found = sorted((-score[o], i) for o in np.flatnonzero(score >= least) for i in ids[cand[o]])[:keep]
-            yield at + j, found
+def _best(queries: np.ndarray, visits: list[list[int]], rows: np.ndarray, leaf: np.ndarray, ids: list[list[int]], keep: int) -> Iterator[tuple[int, list]]:
+    """The ``keep`` best (-score, identifier) of every query among the rows of the leaves that it visits."""
+    q_units, r_units = unit(queries), unit(rows)
+    by_leaf: dict[int, list[int]] = {}
+    for q, own in enumerate(visits):
+        for x in own:
+            by_leaf.setdefault(x, []).append(q)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for x, asking in by_leaf.items():
+        at = np.flatnonzero(leaf == x)
+        for part in np.array_split(np.array(asking), -(-len(asking) // 512)) if len(at) else ():
+            near = q_units[part] @ r_units[at].T
+            kth = np.partition(near, len(at) - keep, axis=1)[:, len(at) - keep] if len(at) > keep else np.full(len(near), -np.inf)
+            q, r = np.nonzero(near >= kth[:, None] - 1e-9)      # near ties are settled by the exact score
+            pairs.append((part[q], at[r]))
+    if not pairs:
+        return
+    which, cand = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    order = np.argsort(which, kind="stable")
+    which, cand = which[order], cand[order]
+    starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    for a, z in zip(starts, np.append(starts[1:], len(which)), strict=True):
+        own = cand[a:z]
+        score = cosine(queries[which[a]][None, :], rows[own])
+        # every identifier of the answer is in a class that scores at least the keep-th best class
+        least = np.partition(score, len(score) - keep)[len(score) - keep] if len(score) > keep else -np.inf
+        yield int(which[a]), sorted((-score[o], i) for o in np.flatnonzero(score >= least) for i in ids[own[o]])[:keep]
 
 
 def usable(vector: Column) -> Column:
@@ -186,25 +201,41 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     visits = _calibrated(indexed, queries, tree, k, recall)
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}      # a row per leaf
 
-    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # neighbouring leaves share a bin of about BLOCK rows; a query comes once to each bin it has leaves in
+    bin_of, filled = {}, BLOCK
+    for leaf in range(tree.leaves):
+        if filled + sizes.get(leaf, 0) > BLOCK:
+            filled = 0
+            new = len(set(bin_of.values()))
+        bin_of[leaf] = new
+        filled += sizes.get(leaf, 0)
+
+    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = unit(_matrix(b.column("vec")))
-            for at in range(0, len(units), 64):
-                orders = [shared.value.leaf_order(u, visits) for u in units[at:at + 64]]
-                which = np.repeat(np.arange(at, at + len(orders)), [len(o) for o in orders])
-                part = b.take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(orders).astype(np.int32)), *part.columns], names=["leaf", *b.schema.names])
-
-    sent = queries.select("cid", "vec").mapInArrow(to_leaves, "leaf int, cid bigint, vec array<double>")
-    visited = {r["leaf"]: r["count"] for r in queries.select("cid", "vec").mapInArrow(to_leaves, "leaf int, cid bigint, vec array<double>")
-               .groupBy("leaf").count().collect()}
-    plan = F.create_map(*[x for leaf in range(tree.leaves) for x in (F.lit(leaf), F.struct(
-        F.lit(-(-sizes.get(leaf, 0) // BLOCK)).alias("blocks"), F.lit(-(-visited.get(leaf, 0) // BLOCK)).alias("chunks")))])
+            which, bins, leaves = [], [], []
+            for i, u in enumerate(unit(_matrix(b.column("vec")))):
+                own: dict[int, list[int]] = {}
+                for leaf in shared.value.leaf_order(u, visits):
+                    own.setdefault(bin_of[leaf], []).append(leaf)
+                which += [i] * len(own)
+                bins += list(own)
+                leaves += list(own.values())
+            part = b.take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), *part.columns], names=["bin", "leaves", *b.schema.names])
+
+    sent = staged(queries.select("cid", "vec").mapInArrow(to_bins, "bin int, leaves array<int>, cid bigint, vec array<double>"), "ann-sent")
+    asking = {r["bin"]: r["count"] for r in sent.groupBy("bin").count().collect()}       # a row per bin
+    rows_of: dict[int, int] = {}
+    for leaf, n in sizes.items():
+        rows_of[bin_of[leaf]] = rows_of.get(bin_of[leaf], 0) + n
+    plan = F.create_map(*[x for i in set(bin_of.values()) for x in (F.lit(i), F.struct(
+        F.lit(-(-rows_of.get(i, 0) // BLOCK)).alias("blocks"), F.lit(-(-asking.get(i, 0) // BLOCK)).alias("chunks")))])
+    to_bin = F.create_map(*[x for leaf, i in bin_of.items() for x in (F.lit(leaf), F.lit(i))])
     own = F.xxhash64("cid")
-    cut = indexed.withColumn("p", plan[F.col("leaf")]).filter("p.chunks > 0")
+    cut = indexed.withColumn("bin", to_bin[F.col("leaf")]).withColumn("p", plan[F.col("bin")]).filter("p.chunks > 0")
     cut = (cut.withColumn("block", F.pmod(own, F.col("p.blocks").cast("long")))
            .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.chunks").cast("long") - 1))).drop("p"))
-    sent = sent.withColumn("p", plan[F.col("leaf")]).filter("p.blocks > 0")
+    sent = sent.withColumn("p", plan[F.col("bin")]).filter("p.blocks > 0")
     sent = (sent.withColumn("chunk", F.pmod(own, F.col("p.chunks").cast("long")))
             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.blocks").cast("long") - 1))).drop("p"))
 
@@ -212,16 +243,16 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         names = ["cid", "vec_id", "score"]
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            q, x = _matrix(left.column("vec")), _matrix(right.column("vec"))
             cids = left.column("cid").to_pylist()
-            for j, found in _best(q, unit(q), x, unit(x), right.column("ids").to_pylist(), k + 1):
+            for j, found in _best(_matrix(left.column("vec")), left.column("leaves").to_pylist(), _matrix(right.column("vec")),
+                                  right.column("leaf").to_numpy(), right.column("ids").to_pylist(), k + 1):
                 for s, i in found:
                     out[0].append(cids[j])
                     out[1].append(i)
                     out[2].append(-s)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
 
-    keys = ["leaf", "block", "chunk"]
+    keys = ["bin", "block", "chunk"]
     found = sent.groupBy(*keys).cogroup(cut.groupBy(*keys)).applyInArrow(nearest, "cid bigint, vec_id bigint, score double")
     best = Window.partitionBy("cid").orderBy(F.col("score").desc(), "vec_id")
     top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
