@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clonalyze.operators.joins import null_safe_join
+
 
 def _keys(k) -> list[str]:
     return [k] if isinstance(k, str) else list(k)
@@ -26,14 +28,11 @@ def stack(*dfs: DataFrame, allow_missing: bool = True) -> DataFrame:
 def keep_first(df: DataFrame, keys, order: str | Sequence[str] = "seq_id") -> DataFrame:
     """First row per key by ``order`` (``dropDuplicates`` keeps an arbitrary row).
 
-    Done as ``min_by(struct(row), order)`` so it is a partial aggregation: a key
-    holding a third of the table is combined map-side, never sorted in one task.
+    Every partition keeps one row per key before the shuffle (window group limit), so a
+    key holding a third of the table sends one row per partition.
     """
-    keys, order = _keys(keys), _keys(order)
-    rest = [c for c in df.columns if c not in keys]
-    ordkey = F.struct(*[F.col(o) for o in order])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), ordkey).alias("_r"))
-    return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+    w = Window.partitionBy(*_keys(keys)).orderBy(*_keys(order))
+    return df.withColumn("_first", F.row_number().over(w)).filter("_first = 1").select(*df.columns)
 
 
 def distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -68,12 +67,19 @@ def rank_within(df: DataFrame, keys, order, out: str = "_rank") -> DataFrame:
     counts = ranged.groupBy(*keys, "_pid").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    joined = local.join(offsets, [*keys, "_pid"]) if keys else local.join(offsets, "_pid")
-    return joined.withColumn(out, (F.col("_lr") + F.col("_off")).cast("long")).drop("_lr", "_off", "_pid")
+    joined = null_safe_join(local, offsets, [*keys, "_pid"])
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_lr") + F.col("_off")).cast("long").alias(out))
 
 
 def head_per(df: DataFrame, cls: str, n: int, order: str = "seq_id") -> DataFrame:
-    """first ``n`` rows per class (by ``order``)."""
+    """first ``n`` rows per class (by ``order``); null is a class like any other.
+
+    For a small ``n`` every partition keeps its own first ``n`` rows of a class before
+    the shuffle (window group limit); a large ``n`` takes the distributed ranking.
+    """
+    if n < 1000:
+        w = Window.partitionBy(cls).orderBy(order)
+        return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
     return rank_within(df, cls, order).filter(F.col("_rank") <= n).drop("_rank")
 
 
@@ -118,9 +124,3 @@ def head(df: DataFrame, n: int, order: Sequence[str] | str = "seq_id") -> DataFr
     """First n rows by order (TakeOrderedAndProject, no global sort)."""
     return df.orderBy(*_keys(order)).limit(n)
 
-
-def position_matrix(probs: DataFrame, keys: Sequence[str] = ("seq_id", "pos"), token: str = "aa") -> DataFrame:
-    """Residue columns in alphabetical order (wide view for export)."""
-    from clonalyze.functions.residues import ALPHABET
-
-    return probs.groupBy(*keys).pivot(token, list(ALPHABET)).agg(F.first("prob"))

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null equals null; key columns appear once."""
-    bb = b.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    cond = [a[k].eqNullSafe(bb[f"__r_{k}"]) for k in keys]
+    # the right side gets names (and attributes) of its own: both sides may come from one table
+    bb = b.select(*[F.col(c).alias(f"__r_{c}") for c in b.columns])
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     j = a.join(bb, cond, how)
-    key_cols = [F.coalesce(a[k], bb[f"__r_{k}"]).alias(k) if how in ("full", "outer", "right") else a[k] for k in keys]
-    return j.select(*key_cols, *[a[c] for c in a.columns if c not in keys], *[bb[c] for c in bb.columns if not c.startswith("__r_")])
+    key_cols = [F.coalesce(k, f"__r_{k}").alias(k) if how in ("full", "outer", "right") else F.col(k) for k in keys]
+    return j.select(*key_cols, *[F.col(c) for c in a.columns if c not in keys], *[F.col(f"__r_{c}").alias(c) for c in b.columns if c not in keys])
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -37,7 +38,7 @@ def suffixed_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "i
     clash = [c for c in a.columns if c in b.columns and c not in keys]
     aa = a.select(*[F.col(c).alias(c + suffixes[0]) if c in clash else F.col(c) for c in a.columns])
     bb = b.select(*[F.col(c).alias(c + suffixes[1]) if c in clash else F.col(c) for c in b.columns])
-    return aa.join(bb, list(keys), how)
+    return null_safe_join(aa, bb, list(keys), how)
 
 
 def attach_repertoire(emb: DataFrame, rep: DataFrame, barcode_only: bool = False) -> DataFrame:
@@ -50,7 +51,7 @@ def attach_repertoire(emb: DataFrame, rep: DataFrame, barcode_only: bool = False
 def enrich(obs: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of extra metadata; columns already present in ``obs`` are not duplicated."""
     extra = [c for c in meta.columns if c not in obs.columns]
-    return obs.join(meta.select(*keys, *extra), list(keys), "left")
+    return null_safe_join(obs, meta.select(*keys, *extra), list(keys), "left")
 
 
 def multi_member(df: DataFrame, key: Sequence[str] | str, min_n: int = 2, distinct_of: str | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def multi_member(df: DataFrame, key: Sequence[str] | str, min_n: int = 2, distin
 
 def attach_germline(germ: DataFrame, rep: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Germline rows to repertoire rows (inner, or left for un-recombined germlines)."""
-    return germ.join(rep, list(keys), how)
+    return null_safe_join(germ, rep, list(keys), how)
 
 
 def mirror_pairs(pairs: DataFrame, src: str = "src", dst: str = "dst", value: str = "velocity") -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clonalyze.operators.joins import null_safe_join
+
 
 def _comb2(c: Column) -> Column:
     return c * (c - 1) / 2.0
@@ -107,7 +109,7 @@ def running_totals(df: DataFrame, order: Column, cols: Sequence[str], by: Sequen
     part = ranged.groupBy(*by, "_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = part.select(*by, "_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    j = local.join(offs, [*by, "_pid"])   # rows: groups + partitions; AQE picks the join from its measured size
+    j = null_safe_join(local, offs, [*by, "_pid"])   # rows: groups + partitions; AQE picks the join from its measured size
     out = j.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in cols])
     return out
 

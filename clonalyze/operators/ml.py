@@ -19,12 +19,14 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationCluster
 from pyspark.ml.feature import PCA, HashingTF, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonalyze.operators.corpus import hash_split, unit_hash
 from clonalyze.operators.dedupe import rank_within
+from clonalyze.operators.joins import null_safe_join
 from clonalyze.operators.metrics import adjusted_rand_index
+from clonalyze.session import materialize
 
 
 def encode_labels(df: DataFrame, col: str, out: str = "label_idx") -> DataFrame:
@@ -37,7 +39,7 @@ def oversample(df: DataFrame, label: str, id: str, seed: str = "0") -> DataFrame
     (``floor(max / n)`` via explode) plus a remainder chosen by hash order."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     top = counts.agg(F.max("_n")).first()[0]                       # one number
-    c = df.join(counts, label)
+    c = null_safe_join(df, counts, [label])
     copies = F.floor(F.lit(top) / F.col("_n")).cast("int")
     whole = c.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
     rest = c.withColumn("_h", unit_hash(F.lit(seed), F.col(id)))
@@ -111,18 +113,23 @@ def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", i
     n_classes = df.agg(F.max(label)).first()[0] + 1
     fam = classifiers(n_features, n_classes)
     out = None
+    train, test = materialize(train), materialize(test)      # every model is fitted on the same kept rows
     for name in models or list(fam):
         est = fam[name]
         col = vec
         tr_src, te_src = train, test
         if name == "svm_rbf":   # projected once, kept for the iterative fits
-            from clonalyze.session import materialize
-
             tr_src, te_src, col = materialize(random_fourier_features(train, vec)), random_fourier_features(test, vec), "rff"
         tr = tr_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
         te = te_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
-        pred = est.fit(tr).transform(te)
-        prob = vector_to_array("probability") if "probability" in pred.columns else F.lit(None).cast("array<double>")
+        fitted = est.fit(tr)
+        pred = fitted.transform(te)
+        if "probability" not in pred.columns:
+            # margins -> probabilities: a multinomial regression of the training labels on the margins
+            margins = fitted.transform(tr).select("label", F.col("rawPrediction").alias("margins"))
+            scaler = LogisticRegression(featuresCol="margins", maxIter=50, predictionCol="_p", rawPredictionCol="_r").fit(margins)
+            pred = scaler.transform(pred.withColumnRenamed("rawPrediction", "margins"))
+        prob = vector_to_array("probability")
         p = pred.select(F.lit(name).alias("model"), id, F.col("label").cast("int").alias("label"),
                         F.col("prediction").cast("int").alias("pred"), prob.alias("prob"))
         out = p if out is None else out.unionByName(p)
@@ -146,12 +153,34 @@ def spectral(edges: DataFrame, k: int, src: str = "src", dst: str = "dst", weigh
 
 def sweep_k(df: DataFrame, truth: str, ks: Sequence[int], vec: str = "vec", method: str = "bisecting") -> DataFrame:
     """ARI against ``truth`` for every cluster count; one distributed fit per k."""
-    rows = None
+    df, rows = materialize(df), None
     for k in ks:
         c = cluster(df, method, k, vec)
         a = adjusted_rand_index(c, truth, "cluster").select(F.lit(k).alias("k"), "ari")
         rows = a if rows is None else rows.unionByName(a)
-    return rows
+    return materialize(rows)
+
+
+def nearest_centroid(df: DataFrame, label: str, groups: Sequence[str], seq: str = "sequence", id: str = "seq_id", k: int = 3,
+                     dims: int = 256, eval_size: float = 0.1, seed: str = "7") -> DataFrame:
+    """M15 (re-aimed): a held-out sequence gets the class whose mean k-mer vector is nearest
+    by cosine among the classes of its own ``groups`` (e.g. V gene, J gene and CDR3 length,
+    inside which clonotypes are told apart). Classes may grow with the data: centroids are a
+    table, nothing is fitted on the driver. Returns (id, label, pred); pred is null where
+    the group has no class in the training rows."""
+    d = kmer_features(df, seq, k, dims).select(id, label, *groups, "features")
+    split = hash_split(d, id, [("eval", eval_size), ("train", 1 - eval_size)], salt=seed)
+    mean = vector_to_array(Summarizer.mean(F.col("features")))
+    centres = split.filter("split = 'train'").groupBy(*groups, label).agg(mean.alias("_c")).withColumnRenamed(label, "_pred")
+    rows = split.filter("split = 'eval'").select(id, label, *groups, vector_to_array("features").alias("_x"))
+    both = null_safe_join(rows, centres, list(groups), "left")
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    cosine = dot("_x", "_c") / F.sqrt(dot("_x", "_x") * dot("_c", "_c"))
+    best = F.max_by("_pred", F.struct(cosine, F.hash("_pred")))
+    return both.groupBy(id).agg(F.first(label).alias("label"), best.alias("pred"))
 
 
 def project_2d(df: DataFrame, vec: str = "vec", id: str = "seq_id") -> DataFrame:
@@ -174,7 +203,7 @@ def kmer_features(df: DataFrame, seq: str = "sequence", k: int = 3, dims: int =
 
 def sequence_classifier(df: DataFrame, label: str, seq: str = "sequence", id: str = "seq_id", eval_size: float = 0.1,
                         seed: str = "7") -> DataFrame:
-    """M15 / M16 (re-aimed): k-mer features + multinomial logistic regression,
+    """M16 (re-aimed): k-mer features + multinomial logistic regression,
     held-out rows by hash split; returns (id, label, pred, prob)."""
     d = kmer_features(df, seq).withColumn("_y", F.col(label).cast("double"))
     split = hash_split(d, id, [("eval", eval_size), ("train", 1 - eval_size)], salt=seed)
@@ -187,17 +216,16 @@ def sequence_classifier(df: DataFrame, label: str, seq: str = "sequence", id: st
 def residue_classifier(tokens: DataFrame, seq_key: str = "seq_id", pos: str = "pos", aa: str = "aa", label: str = "y",
                        window: int = 2, eval_size: float = 0.2, seed: str = "11") -> DataFrame:
     """M17 (re-aimed): per-residue classifier on one-hot features of the residue and
-    its +-``window`` neighbours (neighbours found by an equi-join on (sequence,
-    position + offset), not by collecting sequences); returns (seq, pos, label, score)."""
+    its +-``window`` neighbours (found by one sort, not by joins); returns (seq, pos, label, score)."""
     from pyspark.ml.feature import OneHotEncoder
 
-    base = tokens.select(seq_key, pos, aa, label)
-    feats = base
-    for off in range(-window, window + 1):
-        if off == 0:
-            continue
-        nb = base.select(seq_key, (F.col(pos) - off).alias(pos), F.col(aa).alias(f"_n{off}"))
-        feats = feats.join(nb, [seq_key, pos], "left")
+    from pyspark.sql.window import Window
+
+    # one sort by sequence gives all neighbours; a sequence's positions are bounded by its length
+    order = Window.partitionBy(seq_key).orderBy(pos)
+    feats = tokens.select(seq_key, pos, aa, label, *[
+        F.when(F.lag(pos, -off).over(order) == F.col(pos) + off, F.lag(aa, -off).over(order)).alias(f"_n{off}")
+        for off in range(-window, window + 1) if off])
     cols = [aa] + [f"_n{o}" for o in range(-window, window + 1) if o != 0]
     feats = feats.na.fill("-", cols[1:])
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in cols]

@@ -28,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonalyze.functions.residues import ALPHABET, SKIP_CHARS
+from clonalyze.session import materialize
 
 START, END = "^", "$"
 # Proven size bounds of the model tables (rows), used to justify broadcasting.
+BROADCAST_ROWS = 100_000
 CONTEXT_ROWS_PER_CHAIN = (len(ALPHABET) + 1) ** 2 * len(ALPHABET)
 
 
@@ -84,9 +86,14 @@ class ContextModel:
         """Count (by, left, aa, right) over every residue; partial aggregation keeps the shuffle tiny."""
         res = scorable(residues(training.filter(F.col(seq).isNotNull()), seq, keep=self.by))
         res = res.filter(F.col("aa").isin(*ALPHABET))
-        self.counts = res.groupBy(*self.by, "left", "right", "aa").agg(F.count("*").alias("n"))
+        # bounded by the alphabet (and the values of ``by``); kept, as every lookup starts from it
+        self.counts = materialize(res.groupBy(*self.by, "left", "right", "aa").agg(F.count("*").alias("n")))
         return self
 
+    def release(self) -> None:
+        """Drop the kept counts at the end of a job."""
+        self.counts.unpersist()
+
     def table(self) -> DataFrame:
         """Full model for every observed context: (by, left, right, aa, n, total, prob), 20 rows per context."""
         ctx = self.counts.groupBy(*self.by, "left", "right").agg(
@@ -142,20 +149,27 @@ class ProfileModel:
     def fit(self, training: DataFrame, seq: str = "sequence") -> ProfileModel:
         res = scorable(residues(training.filter(F.col(seq).isNotNull()), seq, keep=[self.group]))
         res = res.filter(F.col("aa").isin(*ALPHABET))
-        self.counts = res.groupBy(self.group, "pos", "aa").agg(F.count("*").alias("n"))
+        self.counts = materialize(res.groupBy(self.group, "pos", "aa").agg(F.count("*").alias("n")))
         return self
 
+    def release(self) -> None:
+        """Drop the kept counts at the end of a job."""
+        self.counts.unpersist()
+
     def lookup(self, res: DataFrame, aa: str = "aa") -> DataFrame:
         """Attach P(aa | group, pos); an unseen (group, position) gives 1/20.
 
         The table has groups x positions x 20 rows (positions bounded by the
-        sequence length, groups by the gene nomenclature); the join key is
-        null-safe on the group, and AQE picks broadcast from the measured size.
+        sequence length, groups by the gene nomenclature), but nothing enforces that
+        bound: it is broadcast up to ``BROADCAST_ROWS`` counted rows and joined by
+        shuffle beyond. The join key is null-safe on the group.
         """
         g = self.group
         ctx = self.counts.groupBy(g, "pos").agg(F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("_m"),
                                                 F.sum("n").alias("_total"))
         t = ctx.select(F.col(g).alias("_g"), F.col("pos").alias("_pos"), "_m", "_total")
+        if self.counts.select(g, "pos").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            t = F.broadcast(t)
         out = res.join(t, res[g].eqNullSafe(t["_g"]) & (res["pos"] == t["_pos"]), "left")
         n = F.coalesce(F.element_at("_m", F.col(aa)), F.lit(0))
         prob = (n + 1) / (F.coalesce(F.col("_total"), F.lit(0)) + len(ALPHABET))
@@ -194,7 +208,7 @@ class ExternalProvider:
                             for aa in ALPHABET:
                                 rows.append((s, pos, aa, float(m.iloc[pos][aa]), None))
                     except Exception as e:  # U3: isolate the failure to this sequence
-                        rows.append((s, None, None, None, repr(e)[:200]))
+                        rows.append((s, None, None, None, repr(e)))
                 yield pd.DataFrame(rows, columns=[seq, "pos", "aa", "prob", "error"])
 
         distinct = seqs.select(seq).filter(F.col(seq).isNotNull()).distinct()

@@ -210,14 +210,12 @@ def c4b(spark, sf):
     return J.attach_repertoire(emb, rep, barcode_only=True).select("seq_id_x", "seq_id_y", "sample_id_x", "sample_id_y", "barcode")
 
 
-@reg("C5_enrich_metadata", """SELECT r.seq_id, r.barcode, r.raw_clonotype_id, m.clone_size FROM repertoire r LEFT JOIN
-(SELECT barcode, raw_clonotype_id, CAST(count(*) AS BIGINT) AS clone_size FROM repertoire WHERE seq_id % 3 = 0 GROUP BY ALL) m
-ON r.barcode = m.barcode AND r.raw_clonotype_id = m.raw_clonotype_id""", ("repertoire",))
+@reg("C5_enrich_metadata", """SELECT r.seq_id, r.barcode, r.seq_id // 1048576 AS doc_id, l.quality, l.toxic FROM repertoire r LEFT JOIN labels l
+ON l.doc_id = r.seq_id // 1048576""", ("repertoire",))
 def c5(spark, sf):
-    rep = REP(spark, sf).select("seq_id", "barcode", "raw_clonotype_id")
-    meta = rep.filter(F.col("seq_id") % 3 == 0).groupBy("barcode", "raw_clonotype_id").agg(
-        F.count("*").cast("long").alias("clone_size"))
-    return J.enrich(rep, meta, ["barcode", "raw_clonotype_id"]).select("seq_id", "barcode", "raw_clonotype_id", "clone_size")
+    """Metadata that only some documents have."""
+    rep = REP(spark, sf).select("seq_id", "barcode", fx.document_of("seq_id").alias("doc_id"))
+    return J.enrich(rep, fx.table(spark, sf, "labels"), ["doc_id"]).select("seq_id", "barcode", "doc_id", "quality", "toxic")
 
 
 @reg("C6_multi_member_clonotypes", f"""SELECT r.seq_id, r.sample_id, r.raw_clonotype_id FROM repertoire r JOIN
@@ -315,12 +313,13 @@ def s5(spark, sf):
 
 
 @reg("S6_union_keep_first", """SELECT barcode, sample_clonotype, src FROM (SELECT *, row_number() OVER (PARTITION BY barcode, sample_clonotype ORDER BY src) AS r FROM (
-SELECT barcode, sample_id || '_' || raw_clonotype_id AS sample_clonotype, 'a' || CAST(seq_id AS VARCHAR) AS src FROM repertoire WHERE seq_id % 2 = 0
+SELECT barcode, sample_id || '_' || raw_clonotype_id AS sample_clonotype, 'a' || CAST(seq_id AS VARCHAR) AS src FROM repertoire WHERE seq_id // 1048576 IN (SELECT doc_id FROM labels)
 UNION ALL SELECT barcode, sample_id || '_' || raw_clonotype_id, 'b' || CAST(seq_id AS VARCHAR) FROM repertoire) u) x WHERE r = 1""", ("repertoire",))
 def s6(spark, sf):
     rep = REP(spark, sf)
     key = R.clonotype_key("sample_id", "raw_clonotype_id").alias("sample_clonotype")
-    a = rep.filter(F.col("seq_id") % 2 == 0).select("barcode", key, F.concat(F.lit("a"), F.col("seq_id").cast("string")).alias("src"))
+    labelled = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("_doc"))
+    a = rep.join(labelled, fx.document_of("seq_id") == F.col("_doc"), "left_semi").select("barcode", key, F.concat(F.lit("a"), F.col("seq_id").cast("string")).alias("src"))
     b = rep.select("barcode", key, F.concat(F.lit("b"), F.col("seq_id").cast("string")).alias("src"))
     return D.keep_first(D.stack(a, b), ["barcode", "sample_clonotype"], "src")
 
@@ -342,7 +341,7 @@ def e3(spark, sf):
 u AS (SELECT sample_id, raw_clonotype_id, CAST(count(DISTINCT seq) AS BIGINT) AS unique_sequences FROM r GROUP BY ALL),
 f AS (SELECT sample_id, raw_clonotype_id, seq, CAST(count(*) AS BIGINT) AS sequence_frequency FROM r GROUP BY ALL)
 SELECT r.seq_id, u.unique_sequences, f.sequence_frequency FROM r JOIN u USING (sample_id, raw_clonotype_id)
-JOIN f USING (sample_id, raw_clonotype_id, seq)""", ("repertoire",))
+JOIN f ON f.sample_id = r.sample_id AND f.raw_clonotype_id = r.raw_clonotype_id AND f.seq IS NOT DISTINCT FROM r.seq""", ("repertoire",))
 def e45(spark, sf):
     r = REP(spark, sf).select("seq_id", "sample_id", "raw_clonotype_id", F.col("hc_cdr3").alias("seq"))
     return A.expansion(r, seq="seq").select("seq_id", "unique_sequences", "sequence_frequency")
@@ -407,13 +406,34 @@ def f5(spark, sf):
     return D.head_per(fx.scored_multi(spark, sf), "label", 5, "id").select("id", "label")
 
 
-@reg("F6_rank_within_sample", """SELECT seq_id, sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY cdr3, seq_id) AS BIGINT) AS rank
+@reg("F6_rank_within_sample", """SELECT seq_id, sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY cdr3 NULLS FIRST, seq_id) AS BIGINT) AS rank
 FROM contigs""")
 def f6(spark, sf):
     c = C(spark, sf).select("seq_id", "sample_id", "cdr3")
     return D.rank_within(c, "sample_id", ["cdr3", "seq_id"], out="rank").select("seq_id", "sample_id", "rank")
 
 
+@reg("F6_windowed_counts", """SELECT seq_id, CAST(count(*) OVER (PARTITION BY sample_id, cdr3) AS BIGINT) AS same_cdr3,
+  CAST(count(*) OVER (PARTITION BY d_gene) AS BIGINT) AS same_d_gene FROM contigs""")
+def f6w(spark, sf):
+    """Windowed counts as aggregate and null-safe join; cdr3 and d_gene may be null."""
+    c = C(spark, sf).select("seq_id", "sample_id", "cdr3", "d_gene")
+    out = A.attach_count(A.attach_count(c, ["sample_id", "cdr3"], "same_cdr3"), "d_gene", "same_d_gene")
+    return out.select("seq_id", "same_cdr3", "same_d_gene")
+
+
+@reg("F5_head_per_nullable_class", """SELECT seq_id, d_gene FROM (SELECT seq_id, d_gene, row_number() OVER (PARTITION BY d_gene ORDER BY seq_id) AS r
+FROM contigs) x WHERE r <= 5""")
+def f5n(spark, sf):
+    return D.head_per(C(spark, sf).select("seq_id", "d_gene"), "d_gene", 5).select("seq_id", "d_gene")
+
+
+@reg("E9_undersample_nullable_class", """WITH r AS (SELECT seq_id, d_gene, row_number() OVER (PARTITION BY d_gene ORDER BY seq_id) AS rn FROM contigs)
+SELECT seq_id, d_gene FROM r WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM contigs GROUP BY d_gene) c)""")
+def e9n(spark, sf):
+    return D.undersample(C(spark, sf).select("seq_id", "d_gene"), "d_gene").select("seq_id", "d_gene")
+
+
 # ------------------------------------------------------------------ G sort / head
 @reg("G1_sort_by_sample", "SELECT seq_id, sample_id FROM contigs ORDER BY sample_id, seq_id")
 def g1(spark, sf):

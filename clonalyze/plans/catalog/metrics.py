@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clonalyze.functions.residues import binary_class, softmax_array
+from clonalyze.functions.residues import argmax, binary_class, softmax_array
 from clonalyze.operators import metrics as M
 from clonalyze.plans.catalog.views_sql import with_views as W
 from clonalyze.sources import fixtures as fx
@@ -116,15 +116,20 @@ def e17(spark, sf):
 
 
 PROBS_CTE = """probs AS (SELECT seq_id AS id, label, list_transform(ex, lambda x: round(x / list_sum(ex), 6)) AS p FROM
-  (SELECT seq_id, label, list_transform(list_slice(vec, 1, 10), lambda x: exp(x - list_max(list_slice(vec, 1, 10)))) AS ex FROM vectors) z),
+  (SELECT seq_id, label, list_transform(f, lambda x: exp(x - list_max(f))) AS ex FROM
+    (SELECT seq_id, label, list_transform(range(0, 10), lambda k: list_sum(list_filter(vec, lambda x, i: (i - 1) % 10 = k))) AS f FROM vectors) y) z),
 ovr AS (SELECT id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS k, label, unnest(p) AS s FROM probs),
 ovr2 AS (SELECT id, k, CASE WHEN label = k THEN 1 ELSE 0 END AS y, s FROM ovr)"""
 
 
 def _probs(spark, sf):
     v = fx.vectors(spark, sf)
-    p = F.transform(softmax_array(F.slice("vec", 1, 10)), lambda x: F.round(x, 6))
-    return v.select(F.col("seq_id").alias("id"), "label", p.alias("p"))
+    # ten class scores from all dimensions: class k sums the dimensions d with d % 10 = k
+    zero = F.lit(0.0)
+    logits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.aggregate(
+        F.filter("vec", lambda x, i: i % 10 == k), zero, lambda a, x: a + x))
+    v = v.select(F.col("seq_id").alias("id"), "label", logits.alias("f"))
+    return v.select("id", "label", F.transform(softmax_array(F.col("f")), lambda x: F.round(x, 6)).alias("p"))
 
 
 @reg("E14_micro_auc", """WITH c AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM ovr2 GROUP BY s),
@@ -137,6 +142,11 @@ def e14(spark, sf):
     return _r(summ, ["auc", "aupr"])
 
 
+@reg("H12_argmax_class", "SELECT id, label, CAST(list_position(p, list_max(p)) - 1 AS INT) AS pred FROM probs", ("vectors",), extra=PROBS_CTE)
+def h12(spark, sf):
+    return _probs(spark, sf).select("id", "label", argmax("p").alias("pred"))
+
+
 @reg("E15_macro_roc", """WITH c AS (SELECT k, s, sum(y) AS pos, sum(1 - y) AS neg FROM ovr2 GROUP BY ALL),
 cum AS (SELECT k, sum(pos) OVER (PARTITION BY k ORDER BY s DESC) AS cp, sum(neg) OVER (PARTITION BY k ORDER BY s DESC) AS cn FROM c),
 tot AS (SELECT k, sum(pos) AS P, sum(neg) AS N FROM c GROUP BY k),

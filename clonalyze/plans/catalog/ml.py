@@ -4,16 +4,20 @@ standardisation, Gaussian naive-Bayes parameters) are paired with DuckDB."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonalyze.functions.regions import full_vdj
 from clonalyze.operators import metrics as M
 from clonalyze.operators import ml as ML
 from clonalyze.operators.corpus import hash_split
-from clonalyze.operators.dedupe import factorize
+from clonalyze.operators.aggregates import best_by
 from clonalyze.operators.embed import long_form
 from clonalyze.operators.joins import multi_member
 from clonalyze.plans.catalog.views_sql import with_views as W
+from clonalyze.session import materialize
 from clonalyze.sources import fixtures as fx
 from clonalyze.sources.tables import table
 
@@ -77,13 +81,21 @@ def m9(spark, sf):
 
 @reg("M9_classifier_reports")
 def m9r(spark, sf):
-    preds = ML.compare_classifiers(fx.vectors(spark, sf), "label", "vec", "seq_id", eval_size=0.2,
-                                   models=["logistic_regression", "naive_bayes"])
-    out = None
-    for m in ("logistic_regression", "naive_bayes"):
-        r = M.report(preds.filter(F.col("model") == m)).withColumn("model", F.lit(m))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Report, confusion matrix and micro ROC area of every model, as (model, part, row, col, value)."""
+    preds = materialize(ML.compare_classifiers(fx.vectors(spark, sf), "label", "vec", "seq_id", eval_size=0.2))
+    parts = []
+    for m in ML.classifiers(4, 2):
+        own = preds.filter(F.col("model") == m)
+        rep = M.report(own)
+        parts += [rep.select(F.lit(m).alias("model"), F.lit("report").alias("part"), F.col("row").cast("string").alias("row"), F.lit(c).alias("col"), F.col(c).cast("double").alias("value"))
+                 for c in ("precision", "recall", "f1", "support")]
+    conf = preds.groupBy("model", "label", "pred").agg(F.count("*").alias("n"))
+    parts.append(conf.select("model", F.lit("confusion").alias("part"), F.col("label").cast("string").alias("row"), F.col("pred").cast("string").alias("col"),
+                             F.col("n").cast("double").alias("value")))
+    pooled = preds.select("model", "label", F.posexplode("prob").alias("k", "s")).withColumn("y", (F.col("label") == F.col("k")).cast("int"))
+    area = M.binary_summary(pooled, "y", "s", by=["model"])
+    parts.append(area.select("model", F.lit("roc").alias("part"), F.lit("micro").alias("row"), F.lit("auc").alias("col"), F.col("auc").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @reg("M10_M12_cluster_benchmark")
@@ -99,7 +111,10 @@ def m12(spark, sf):
 
 @reg("M13_sweep_k")
 def m13(spark, sf):
-    return ML.sweep_k(fx.vectors(spark, sf), "label", list(range(2, 20)))
+    """ARI by number of clusters, the best one marked."""
+    sweep = ML.sweep_k(fx.vectors(spark, sf), "label", list(range(2, 20)))
+    best = best_by(sweep, "ari", "k").select(F.col("k").alias("best_k"))
+    return sweep.join(F.broadcast(best), F.col("k") == F.col("best_k"), "left").select("k", "ari", F.col("best_k").isNotNull().alias("is_best"))
 
 
 @reg("M14_project_2d")
@@ -109,18 +124,17 @@ def m14(spark, sf):
 
 @reg("M15_clonotype_classifier")
 def m15(spark, sf):
-    rep = fx.repertoire(spark, sf).select("seq_id", "raw_clonotype_id", full_vdj("hc_").alias("sequence"))
+    rep = fx.repertoire(spark, sf).select("seq_id", "raw_clonotype_id", "v_gene", "j_gene", F.length("hc_cdr3").alias("cdr3_length"), full_vdj("hc_").alias("sequence"))
     rep = multi_member(rep.filter(F.col("sequence").isNotNull()), "raw_clonotype_id", 2)
-    rep = factorize(rep, "raw_clonotype_id", out="y")
-    p = ML.sequence_classifier(rep, "y", "sequence", "seq_id", eval_size=0.1)
-    return p.agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
+    p = ML.nearest_centroid(rep, "raw_clonotype_id", ["v_gene", "j_gene", "cdr3_length"])
+    return p.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("label") == F.col("pred"), F.lit(False)).cast("double")).alias("accuracy"))
 
 
 @reg("M16_binding_classifier")
 def m16(spark, sf):
-    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("y"))
-    c = fx.contigs(spark, sf).select("seq_id", full_vdj().alias("sequence")).filter(F.col("sequence").isNotNull())
-    p = ML.sequence_classifier(c.join(lab, "seq_id"), "y", "sequence", "seq_id", eval_size=0.3)
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
+    c = fx.contigs(spark, sf).select("seq_id", fx.document_of("seq_id").alias("doc_id"), full_vdj().alias("sequence"))
+    p = ML.sequence_classifier(c.filter(F.col("sequence").isNotNull()).join(lab, "doc_id"), "y", "sequence", "seq_id", eval_size=0.3)
     scored = p.select("label", F.col("prob")[1].alias("score"), "pred")
     return M.binary_metrics(scored, "label", "score", pred="pred")
 

@@ -10,31 +10,36 @@ AA = ("regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[BJOUX
 
 _CONTIGS = f"""
 contigs_b AS (SELECT doc_id, source, {AA} AS aa FROM documents),
-contigs_k AS (SELECT doc_id, source, aa, CAST(8 + ascii(substr(aa,3,1)) % 8 AS INT) AS n3,
-  CASE WHEN doc_id % 4 = 1 THEN 'IGK' ELSE 'IGH' END AS chain FROM contigs_b WHERE length(aa) >= 122),
-contigs AS (SELECT doc_id AS seq_id, source AS sample_id,
-  'BC' || CAST(doc_id - doc_id % 2 AS VARCHAR) || '-1' AS barcode,
-  'BC' || CAST(doc_id - doc_id % 2 AS VARCHAR) || '-1_contig_' || CAST(doc_id % 2 + 1 AS VARCHAR) AS contig_id,
+contigs_w AS (SELECT doc_id, source, unnest(regexp_extract_all(aa, '.{{1,122}}')) AS aa,
+  CAST(unnest(range(0, len(regexp_extract_all(aa, '.{{1,122}}')))) AS BIGINT) AS win FROM contigs_b),
+contigs_k AS (SELECT *, doc_id + win AS k, CAST(8 + ascii(substr(aa,3,1)) % 8 AS INT) AS n3,
+  CASE WHEN (doc_id + win) % 4 = 1 THEN 'IGK' ELSE 'IGH' END AS chain,
+  'BC' || CAST(doc_id - doc_id % 2 AS VARCHAR) || 'W' || CAST(win - win % 2 AS VARCHAR) || '-1' AS bc FROM contigs_w),
+contigs AS (SELECT doc_id * 1048576 + win AS seq_id, source AS sample_id,
+  bc AS barcode, bc || '_contig_' || CAST(doc_id % 2 * 2 + win % 2 + 1 AS VARCHAR) AS contig_id,
   chain,
   substr(chain,1,3) || 'V' || CAST(1 + ascii(substr(aa,1,1)) % 7 AS VARCHAR) || '-' || CAST(1 + ascii(substr(aa,2,1)) % 13 AS VARCHAR) AS v_gene,
-  CASE WHEN chain = 'IGH' AND doc_id % 3 <> 0 THEN 'IGHD' || CAST(1 + doc_id % 4 AS VARCHAR) END AS d_gene,
+  CASE WHEN chain = 'IGH' AND k % 3 <> 0 THEN 'IGHD' || CAST(1 + k % 4 AS VARCHAR) END AS d_gene,
   substr(chain,1,3) || 'J' || CAST(1 + ascii(substr(aa,4,1)) % 4 AS VARCHAR) AS j_gene,
-  CASE WHEN chain = 'IGK' THEN 'IGKC' ELSE CASE doc_id % 10 WHEN 0 THEN 'IGHM' WHEN 1 THEN 'IGHD' WHEN 2 THEN 'IGHG1'
+  CASE WHEN chain = 'IGK' THEN 'IGKC' ELSE CASE k % 10 WHEN 0 THEN 'IGHM' WHEN 1 THEN 'IGHD' WHEN 2 THEN 'IGHG1'
     WHEN 3 THEN 'IGHG2B' WHEN 4 THEN 'IGHG2C' WHEN 5 THEN 'IGHG3' WHEN 6 THEN 'IGHA1' WHEN 8 THEN 'IGHG2' WHEN 9 THEN 'IGHG4' END END AS c_gene,
-  'clonotype_' || CAST(ascii(substr(aa,1,1)) % 7 AS VARCHAR) || '_' || CAST(ascii(substr(aa,2,1)) % 13 AS VARCHAR) || '_' || CAST(n3 AS VARCHAR) AS raw_clonotype_id,
-  substr(aa,1,25) AS fwr1, substr(aa,26,8) AS cdr1, substr(aa,34,17) AS fwr2, substr(aa,51,8) AS cdr2, substr(aa,59,38) AS fwr3,
-  substr(aa,97,n3) AS cdr3, CASE WHEN doc_id % 50 <> 49 THEN substr(aa,112,11) END AS fwr4 FROM contigs_k)"""
+  'clonotype_' || CAST(ascii(substr(aa,1,1)) % 7 AS VARCHAR) || '_' || CAST(ascii(substr(aa,2,1)) % 13 AS VARCHAR) || '_' || CAST(n3 AS VARCHAR)
+    || '_' || CAST(ascii(substr(aa,5,1)) % 11 AS VARCHAR) AS raw_clonotype_id,
+  nullif(substr(aa,1,25), '') AS fwr1, nullif(substr(aa,26,8), '') AS cdr1, nullif(substr(aa,34,17), '') AS fwr2,
+  nullif(substr(aa,51,8), '') AS cdr2, nullif(substr(aa,59,38), '') AS fwr3,
+  nullif(CASE WHEN k % 50 = 49 THEN substr(aa,97) ELSE substr(aa,97,n3) END, '') AS cdr3,
+  CASE WHEN k % 50 <> 49 THEN nullif(substr(aa, 97 + n3), '') END AS fwr4 FROM contigs_k)"""
 
 _REPERTOIRE = """
 repertoire AS (SELECT seq_id, sample_id, substr(barcode, 1, length(barcode) - 2) AS barcode, raw_clonotype_id, v_gene, j_gene, c_gene AS vdj_cgene,
   fwr1 AS hc_fwr1, cdr1 AS hc_cdr1, fwr2 AS hc_fwr2, cdr2 AS hc_cdr2, fwr3 AS hc_fwr3, cdr3 AS hc_cdr3, fwr4 AS hc_fwr4,
   CAST(CASE WHEN seq_id % 11 = 0 THEN 2 ELSE 1 END AS INT) AS nr_of_vdj_chains,
-  fwr1 || cdr1 || '--' || translate(fwr2 || cdr2 || fwr3, 'ASGTLV', 'SATGVL') || '*' || cdr3 || fwr4 AS vdj_ref_aa,
+  fwr1 || cdr1 || '--' || substr(translate(fwr2 || cdr2 || fwr3, 'ASGTLV', 'SATGVL'), CASE WHEN seq_id % 9 = 4 THEN 2 ELSE 1 END) || '*' || cdr3 || fwr4 AS vdj_ref_aa,
   CAST(seq_id % 15 AS INT) AS shm_count
 FROM contigs WHERE chain = 'IGH')"""
 
 _LINEAGE_NODES = """
-lineage_s AS (SELECT seq_id, fwr1 || cdr1 || fwr2 || cdr2 || fwr3 || cdr3 || fwr4 AS q FROM contigs WHERE chain = 'IGH' AND fwr4 IS NOT NULL AND seq_id % 6 = 0),
+lineage_s AS (SELECT seq_id, fwr1 || cdr1 || fwr2 || cdr2 || fwr3 || cdr3 || fwr4 AS q FROM contigs WHERE chain = 'IGH' AND fwr4 IS NOT NULL),
 lineage_n AS (SELECT 1 AS label UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6),
 lineage_nodes AS (SELECT 'L' || CAST(seq_id AS VARCHAR) AS sample_clonotype, CAST(label AS INT) AS label,
   CASE WHEN label = 1 THEN q

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonalyze.functions.regions import collapse_isotype, full_vdj, gene_family, input_columns, seq_length
@@ -25,10 +25,21 @@ def heavy_training(contigs: DataFrame) -> DataFrame:
     return contigs.filter(F.col("chain") == "IGH").select(full_vdj().alias("sequence"), gene_family("v_gene").alias("v_family"))
 
 
+def chain_type() -> Column:
+    """Heavy chains have a model of their own, all others share the light one."""
+    return F.when(F.col("chain") == "IGH", "heavy").otherwise("light")
+
+
+def chain_training(contigs: DataFrame) -> DataFrame:
+    """Training sequences of the chain-specific models: full variable domains of all chains."""
+    return contigs.select(full_vdj().alias("sequence"), gene_family("v_gene").alias("v_family"), chain_type().alias("chain_type"))
+
+
 def fit_models(training: DataFrame, names: Sequence[str] = ("context", "profile")) -> dict:
+    """Chain-specific models of ``chain_training`` rows (a V family belongs to one chain)."""
     models = {}
     if "context" in names:
-        models["context"] = ContextModel().fit(training)
+        models["context"] = ContextModel(by=["chain_type"]).fit(training)
     if "profile" in names:
         models["profile"] = ProfileModel("v_family").fit(training)
     return models
@@ -53,16 +64,8 @@ def score(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence
         narrow = score(contigs, modes, models, [id], id=None)
         meta = contigs.select(*keys)
         return narrow.join(meta, id).select(*keys, "model", "mode", "n_pos", "pll")
-    specs = []
-    for mode in modes:
-        seq, start, end = input_columns(mode)
-        specs.append(F.struct(F.lit(mode).alias("mode"), seq.alias("sequence"), start.alias("start_pos"), end.alias("end_pos")))
-    base = (contigs.select(*keys, gene_family("v_gene").alias("v_family"), F.explode(F.array(*specs)).alias("_m"))
-            .select(*keys, "v_family", "_m.*").filter(F.col("sequence").isNotNull()))
-    res = residues(base, "sequence", keep=[*keys, "v_family", "mode"], start="start_pos", end="end_pos", outer=True)
     names = list(models)
-    for name in names:
-        res = models[name].lookup(res).withColumnRenamed("prob", f"_p_{name}")
+    res = _looked_up(contigs, modes, models, keys)
     ok = F.col("aa").isNotNull() & ~F.col("aa").isin(*SKIP_CHARS)
     aggs = [F.count(F.when(ok, F.lit(1))).cast("long").alias("n_pos")]
     aggs += [F.avg(F.when(ok, F.ln(f"_p_{n}"))).alias(f"_pll_{n}") for n in names]
@@ -71,6 +74,34 @@ def score(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence
     return per.select(*keys, "mode", "n_pos", stack.alias("_s")).select(*keys, "_s.model", "mode", "n_pos", "_s.pll")
 
 
+def _looked_up(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence[str]) -> DataFrame:
+    """One row per (keys, mode, residue) with every model's probability as ``_p_{model}``."""
+    specs = []
+    for mode in modes:
+        seq, start, end = input_columns(mode)
+        specs.append(F.struct(F.lit(mode).alias("mode"), seq.alias("sequence"), start.alias("start_pos"), end.alias("end_pos")))
+    own = [gene_family("v_gene").alias("v_family"), chain_type().alias("chain_type")]
+    base = (contigs.select(*keys, *own, F.explode(F.array(*specs)).alias("_m"))
+            .select(*keys, "v_family", "chain_type", "_m.*").filter(F.col("sequence").isNotNull()))
+    res = residues(base, "sequence", keep=[*keys, "v_family", "chain_type", "mode"], start="start_pos", end="end_pos", outer=True)
+    for name in models:
+        res = models[name].lookup(res).withColumnRenamed("prob", f"_p_{name}")
+    return res
+
+
+def score_wide(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence[str], id: str = "seq_id") -> DataFrame:
+    """J6 from the residues in one aggregation by ``id``: a column ``evo_likelihood_{model}_{mode}``
+    each; the other keys are joined last. Rows that miss a mode are dropped, like an inner join."""
+    res = _looked_up(contigs, modes, models, [id])
+    ok = F.col("aa").isNotNull() & ~F.col("aa").isin(*SKIP_CHARS)
+    aggs = [F.max(F.when(F.col("mode") == m, True)).alias(f"_has_{m}") for m in modes]
+    aggs += [F.avg(F.when(ok & (F.col("mode") == m), F.ln(f"_p_{n}"))).alias(f"evo_likelihood_{n}_{m}") for m in modes for n in models]
+    per = res.groupBy(id).agg(*aggs)
+    for m in modes:
+        per = per.filter(F.col(f"_has_{m}"))
+    return contigs.select(*keys).join(per.drop(*[f"_has_{m}" for m in modes]), id)
+
+
 def aggregate_scores(scores: DataFrame, keys: Sequence[str], models: Sequence[str], modes: Sequence[str]) -> DataFrame:
     """J6 (C1/C2 as a pivot): one row per key, one column ``evo_likelihood_{model}_{mode}``.
 
@@ -89,7 +120,16 @@ def combine(repertoire: DataFrame, scores: DataFrame) -> DataFrame:
     """Single-heavy-chain cells natural-joined to heavy-chain scores, with derived columns."""
     vdj = repertoire.filter(F.col("nr_of_vdj_chains") == 1)
     sc = scores.filter(F.col("chain") == "IGH").withColumn("barcode", F.substring_index("barcode", "-", 1))
-    j = natural_join(vdj, sc)
+    if "seq_id" in vdj.columns and "seq_id" in sc.columns:
+        # one hash key; the other shared columns are compared on the joined row
+        shared = [c for c in vdj.columns if c in sc.columns and c != "seq_id"]
+        right = sc.select("seq_id", *[F.col(c).alias(f"_r_{c}") for c in shared], *[c for c in sc.columns if c not in vdj.columns])
+        j = vdj.join(right, "seq_id")
+        for c in shared:
+            j = j.filter(F.col(c).eqNullSafe(F.col(f"_r_{c}")))
+        j = j.drop(*[f"_r_{c}" for c in shared])
+    else:
+        j = natural_join(vdj, sc)
     return (j.withColumn("vdj_cgene", collapse_isotype("vdj_cgene"))
             .withColumn("c_gene", F.col("vdj_cgene"))
             .withColumn("v_gene_family", gene_family("v_gene"))

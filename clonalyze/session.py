@@ -44,6 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
+        local = current.startswith("/") or (current.startswith("file:") and "/tmp/clonalyze-ckpt-" in current)
+        if local and not sc.master.startswith("local"):
+            raise RuntimeError(f"checkpoint folder {current} is on one machine; set spark.checkpoint.dir to a shared folder")
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -62,6 +65,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*dfs: DataFrame) -> None:
+    """Let go of what ``materialize`` kept, once a job's results are written."""
+    for df in dfs:
+        df.unpersist()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Keep a derived table that feeds several branches of one job (e.g. a model
     fitted on the same rows it then scores) instead of deriving it twice.

@@ -6,15 +6,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clonalyze.schemas import CONSENSUS_SCHEMA, CONTIG_SCHEMA, LABELLED_SCHEMA, OAS_FIELDS
 
 
-def _with_id(df: DataFrame) -> DataFrame:
-    """Stable row id for a fixed input layout (positional identity of the source)."""
-    return df.withColumn("seq_id", F.monotonically_increasing_id())
+def _with_id(df: DataFrame, file: Column | None = None) -> DataFrame:
+    """``seq_id`` from the file's name and the row's content, so it survives re-runs, other
+    file splits and other folders. Equal rows of one file are told apart by number."""
+    names = df.columns
+    tagged = df.select("*", F.xxhash64(F.element_at(F.split(F.input_file_name() if file is None else file, "/"), -1),
+                                       *[F.col(f"`{c}`") for c in names]).alias("_content"))
+    same = Window.partitionBy("_content").orderBy("_content")
+    return tagged.withColumn("_nth", F.row_number().over(same)).select(
+        *[F.col(f"`{c}`") for c in names], F.when(F.col("_nth") == 1, F.col("_content")).otherwise(F.xxhash64("_content", "_nth")).alias("seq_id"))
 
 
 def read_sequences(spark: SparkSession, path: str | Sequence[str], col: str = "sequence") -> DataFrame:
@@ -44,23 +51,25 @@ def read_wide_embeddings(spark: SparkSession, path: str, prefix: str = "dim_") -
     df = spark.read.option("header", True).csv(path)
     dims = sorted([c for c in df.columns if c.startswith(prefix)], key=lambda c: int(c[len(prefix):]))
     meta = [c for c in df.columns if not c.startswith(prefix)]
-    return df.select(*meta, F.array(*[F.col(c).cast("double") for c in dims]).alias("vec"))
+    out = df.select(*meta, F.array(*[F.col(c).cast("double") for c in dims]).alias("vec"))
+    return out if "seq_id" in meta else _with_id(out)
 
 
 def read_corpus(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """A5: line / whitespace separated sequences (a line may hold many)."""
     t = spark.read.text(path)
-    return t.select(F.explode(F.split(F.trim("value"), r"\s+")).alias("sequence")).filter(F.length("sequence") > 0)
+    return _with_id(t.select(F.explode(F.split(F.trim("value"), r"\s+")).alias("sequence")).filter(F.length("sequence") > 0))
 
 
 def read_labelled(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """JSON lines (sequence, label)."""
-    return spark.read.schema(LABELLED_SCHEMA).json(path)
+    return _with_id(spark.read.schema(LABELLED_SCHEMA).json(path))
 
 
 def read_token_labels(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Parquet with an array label column (``paratope_labels``)."""
-    return spark.read.parquet(path)
+    df = spark.read.parquet(path)
+    return df if "seq_id" in df.columns else _with_id(df)
 
 
 def read_oas(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -75,7 +84,7 @@ def read_oas(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     meta_line = F.coalesce(F.col("_first"), F.lit("")).startswith("{")
     header_line = F.col("sequence_alignment_aa").eqNullSafe(F.lit("sequence_alignment_aa"))
     body = picked.filter(~meta_line & ~header_line)
-    return body.drop("_first")
+    return _with_id(body.drop("_first"))
 
 
 def ingest_oas(spark: SparkSession, manifest: Sequence[str], out_path: str | None = None) -> DataFrame:
@@ -83,7 +92,7 @@ def ingest_oas(spark: SparkSession, manifest: Sequence[str], out_path: str | Non
     written once; the old 50-way shard-and-concatenate becomes partitioning."""
     from clonalyze.operators.filters import oas_quality
 
-    df = oas_quality(read_oas(spark, list(manifest))).select("sequence_alignment_aa")
+    df = oas_quality(read_oas(spark, list(manifest))).select("seq_id", "sequence_alignment_aa")
     if out_path:
-        df.write.mode("overwrite").text(out_path)
+        df.select("sequence_alignment_aa").write.mode("overwrite").text(out_path)
     return df

@@ -1,7 +1,8 @@
 """Stand-in repertoire views derived from the driver tables (FIXTURES.md part 2).
 
 Every view is a lazy DataFrame over ``documents`` / ``embeddings`` / ``labels``,
-so its size grows with the data. The derivation is narrow (projection + filter);
+so its size grows with the data. Whole texts are used: a document gives as many
+contigs as its residues fill windows. The derivation is narrow (projection, explode);
 only ``scored_binary`` joins (labels to documents on the document key).
 """
 
@@ -14,15 +15,16 @@ from clonalyze.functions.regions import REGIONS, cat
 from clonalyze.sources.tables import table
 
 # Fixed values of the stand-in derivation (must equal the oracle SQL).
-MIN_AA = 122
+WINDOW = 122                # residues of a contig; the last window of a document may be shorter
+WINDOW_IDS = 1 << 20        # seq_id = doc_id * WINDOW_IDS + window
 SUBSTITUTE_FROM = "ASGTLV"
 SUBSTITUTE_TO = "SATGVL"
-# (doc_id % 10) -> heavy-chain isotype; 7 is left null on purpose.
+# (doc_id + window) % 10 -> heavy-chain isotype; 7 is left null on purpose.
 ISOTYPE_BY_DIGIT = {0: "IGHM", 1: "IGHD", 2: "IGHG1", 3: "IGHG2B", 4: "IGHG2C", 5: "IGHG3", 6: "IGHA1", 8: "IGHG2", 9: "IGHG4"}
 # Lineage stand-in: six nodes per tree, label 6 is the germline root.
 LINEAGE_LABELS = 6
 LINEAGE_EDGES = [(1, 2), (1, 3), (2, 4), (2, 5), (6, 1)]
-# Region boundaries (1-based start, length) inside the derived residue string.
+# Region boundaries (1-based start, length) inside a window; cdr3 starts at 97.
 REGION_SLICES = {"fwr1": (1, 25), "cdr1": (26, 8), "fwr2": (34, 17), "cdr2": (51, 8), "fwr3": (59, 38)}
 
 
@@ -35,40 +37,58 @@ def _ascii_mod(aa: Column, pos: int, m: int) -> Column:
     return F.ascii(F.substring(aa, pos, 1)) % m
 
 
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every residue of every document, cut into consecutive windows (the last one short)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", amino_acids(F.col("text")).alias("aa"))
+    # one linear pass over the text; a Generate node also keeps what follows from being
+    # pushed below and re-running the document-wide expressions
+    cut = F.regexp_extract_all("aa", F.lit(f".{{1,{WINDOW}}}"), F.lit(0))
+    return docs.select("doc_id", "source", F.posexplode(cut).alias("win", "aa"))
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per chain contig: keys, genes, seven regions."""
-    # The letters of a whole document are derived once: a one-element explode is a
-    # Generate node, which keeps the length predicate below from being pushed under
-    # the projection (that would run the document-wide regexp twice per row).
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.explode(F.array(amino_acids(F.col("text")))).alias("aa"))
-    k = (docs.filter(F.length("aa") >= MIN_AA)
+    """One row per chain contig: keys, genes, seven regions (null where the window ends before)."""
+    mix = F.col("doc_id") + F.col("win")
+    k = (windows(spark, sf_dir)
+         .withColumn("k", mix)
          .withColumn("n3", (F.lit(8) + _ascii_mod(F.col("aa"), 3, 8)).cast("int"))
-         .withColumn("chain", F.when(F.col("doc_id") % 4 == 1, "IGK").otherwise("IGH")))
-    doc = F.col("doc_id")
-    bc = F.concat(F.lit("BC"), (doc - doc % 2).cast("string"), F.lit("-1"))
+         .withColumn("chain", F.when(F.col("k") % 4 == 1, "IGK").otherwise("IGH")))
+    doc, num = F.col("doc_id"), F.col("k")
+    # a cell is two windows of a document; the next document, of another sample, repeats its barcode
+    bc = F.concat(F.lit("BC"), (doc - doc % 2).cast("string"), F.lit("W"), (F.col("win") - F.col("win") % 2).cast("string"), F.lit("-1"))
     c_heavy = F.create_map(*[x for d, g in ISOTYPE_BY_DIGIT.items() for x in (F.lit(d), F.lit(g))])
     aa = F.col("aa")
     cols = [
-        doc.alias("seq_id"),
+        (doc * WINDOW_IDS + F.col("win")).alias("seq_id"),
         F.col("source").alias("sample_id"),
         bc.alias("barcode"),
-        F.concat(bc, F.lit("_contig_"), (doc % 2 + 1).cast("string")).alias("contig_id"),
+        F.concat(bc, F.lit("_contig_"), (doc % 2 * 2 + F.col("win") % 2 + 1).cast("string")).alias("contig_id"),
         F.col("chain"),
         F.concat(F.substring("chain", 1, 3), F.lit("V"), (1 + _ascii_mod(aa, 1, 7)).cast("string"), F.lit("-"),
                  (1 + _ascii_mod(aa, 2, 13)).cast("string")).alias("v_gene"),
-        F.when((F.col("chain") == "IGH") & (doc % 3 != 0), F.concat(F.lit("IGHD"), (1 + doc % 4).cast("string"))).alias("d_gene"),
+        F.when((F.col("chain") == "IGH") & (num % 3 != 0), F.concat(F.lit("IGHD"), (1 + num % 4).cast("string"))).alias("d_gene"),
         F.concat(F.substring("chain", 1, 3), F.lit("J"), (1 + _ascii_mod(aa, 4, 4)).cast("string")).alias("j_gene"),
-        F.when(F.col("chain") == "IGK", F.lit("IGKC")).otherwise(F.try_element_at(c_heavy, (doc % 10).cast("int"))).alias("c_gene"),
-        F.concat(F.lit("clonotype_"), _ascii_mod(aa, 1, 7).cast("string"), F.lit("_"), _ascii_mod(aa, 2, 13).cast("string"),
-                 F.lit("_"), F.col("n3").cast("string")).alias("raw_clonotype_id"),
+        F.when(F.col("chain") == "IGK", F.lit("IGKC")).otherwise(F.try_element_at(c_heavy, (num % 10).cast("int"))).alias("c_gene"),
+        F.concat_ws("_", F.lit("clonotype"), _ascii_mod(aa, 1, 7).cast("string"), _ascii_mod(aa, 2, 13).cast("string"),
+                    F.col("n3").cast("string"), _ascii_mod(aa, 5, 11).cast("string")).alias("raw_clonotype_id"),
     ]
-    cols += [F.substring(aa, s, n).alias(r) for r, (s, n) in REGION_SLICES.items()]
-    cols += [aa.substr(F.lit(97), F.col("n3")).alias("cdr3"),
-             F.when(doc % 50 != 49, F.substring(aa, 112, 11)).alias("fwr4")]
+    cols += [_some(F.substring(aa, s, n)).alias(r) for r, (s, n) in REGION_SLICES.items()]
+    # every residue of the window is in a region; without fwr4 they all belong to cdr3
+    tail = num % 50 == 49
+    cols += [_some(aa.substr(F.lit(97), F.when(tail, F.lit(WINDOW)).otherwise(F.col("n3")))).alias("cdr3"),
+             F.when(~tail, _some(aa.substr(F.lit(97) + F.col("n3"), F.lit(WINDOW)))).alias("fwr4")]
     return k.select(*cols)
 
 
+def _some(region: Column) -> Column:
+    return F.when(region != "", region)
+
+
+def document_of(seq_id: str) -> Column:
+    """The document that a contig is cut from."""
+    return F.floor(F.col(seq_id) / WINDOW_IDS).cast("long")
+
+
 def with_consensus(df: DataFrame) -> DataFrame:
     """Ninth contig key column."""
     return df.withColumn("raw_consensus_id", F.concat("raw_clonotype_id", F.lit("_consensus_1")))
@@ -77,8 +97,10 @@ def with_consensus(df: DataFrame) -> DataFrame:
 def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per heavy chain with the VDJ-table column names (lower case)."""
     c = contigs(spark, sf_dir).filter(F.col("chain") == "IGH")
+    # every ninth reference is one residue shorter than its sequence
+    middle = F.translate(cat("fwr2", "cdr2", "fwr3"), SUBSTITUTE_FROM, SUBSTITUTE_TO)
     ref = F.concat(F.col("fwr1"), F.col("cdr1"), F.lit("--"),
-                   F.translate(cat("fwr2", "cdr2", "fwr3"), SUBSTITUTE_FROM, SUBSTITUTE_TO),
+                   F.when(F.col("seq_id") % 9 == 4, F.expr("substr(translate(fwr2 || cdr2 || fwr3, 'ASGTLV', 'SATGVL'), 2)")).otherwise(middle),
                    F.lit("*"), F.col("cdr3"), F.col("fwr4"))
     return c.select(
         "seq_id", "sample_id",
@@ -94,7 +116,7 @@ def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six nodes per tree; label 1 is the observed sequence, 6 the germline root."""
     s = (contigs(spark, sf_dir)
-         .filter((F.col("chain") == "IGH") & F.col("fwr4").isNotNull() & (F.col("seq_id") % 6 == 0))
+         .filter((F.col("chain") == "IGH") & F.col("fwr4").isNotNull())
          .select("seq_id", cat(*REGIONS).alias("q")))
     n = s.select("seq_id", "q", F.explode(F.sequence(F.lit(1), F.lit(LINEAGE_LABELS))).alias("label"))
     q, lab = F.col("q"), F.col("label")

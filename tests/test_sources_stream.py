@@ -43,7 +43,7 @@ def test_read_contigs_glob(spark):
 def test_sequences_corpus_jsonl_parquet_wide(spark):
     d = _scratch()
     pd.DataFrame({"sequence": ["ACD", None, "EFG"], "x": [1, 2, 3]}).to_csv(f"{d}/seqs.csv", index=False)
-    assert [r.sequence for r in S.read_sequences(spark, f"{d}/seqs.csv").orderBy("seq_id").collect()] == ["ACD", None, "EFG"]
+    assert sorted([r.sequence for r in S.read_sequences(spark, f"{d}/seqs.csv").collect()], key=str) == ["ACD", "EFG", None]
     with open(f"{d}/corpus.txt", "w") as f:
         f.write("AAA CCC  DDD\nEEE\n")
     assert sorted(r.sequence for r in S.read_corpus(spark, f"{d}/corpus.txt").collect()) == ["AAA", "CCC", "DDD", "EEE"]
@@ -75,6 +75,61 @@ def test_read_oas_skips_metadata_and_header(spark):
     assert len(rows) == 1 and rows[0].sequence_alignment_aa == "QVQLVQ" and rows[0].cdr3 == "ARDY"
 
 
+def _oas_unit(path, n, first):
+    header = [f"f{i}" for i in range(1, 48)]
+    header[13] = "sequence_alignment_aa"
+    with gzip.open(path, "wt") as f:
+        f.write('"{""Run"": ""X""}"\n' + ",".join(header) + "\n")
+        for i in range(n):
+            row = [""] * 47
+            row[13], row[34], row[36], row[40], row[44], row[46] = "QVQ" + "ACDEFGHIKL"[(first + i) % 10] * (1 + i), "A" * 25, "GFTFSS", "ISGSGG", "W" * 11, "ARDYWG"
+            f.write(",".join(row) + "\n")
+
+
+def test_files_to_split_corpus(spark):
+    """J15 from gz units to split text; ids and splits don't depend on the folder or the file layout."""
+    from clonalyze.operators.corpus import build_corpus, write_corpus
+
+    d, e = _scratch(), _scratch()
+    for folder in (d, e):
+        _oas_unit(f"{folder}/u1.csv.gz", 60, 0)
+        _oas_unit(f"{folder}/u2.csv.gz", 40, 3)
+    one = build_corpus(S.ingest_oas(spark, [f"{d}/u1.csv.gz", f"{d}/u2.csv.gz"]))
+    rows = {r.seq_id: (r.sequence_alignment_aa, r.split) for r in one.collect()}
+    other = build_corpus(S.ingest_oas(spark, [f"{e}/u2.csv.gz", f"{e}/u1.csv.gz"]).repartition(7))
+    assert rows == {r.seq_id: (r.sequence_alignment_aa, r.split) for r in other.collect()} and len(rows) > 0
+    write_corpus(one, f"{d}/corpus")
+    text = spark.read.text(f"{d}/corpus")
+    assert sorted((r.value, r.split) for r in text.collect()) == sorted(rows.values())
+
+
+def test_equal_rows_of_a_file_have_their_own_ids(spark):
+    d = _scratch()
+    pd.DataFrame({"sequence": ["ACD"] * 3 + ["EFG"]}).to_csv(f"{d}/s.csv", index=False)
+    ids = [r.seq_id for r in S.read_sequences(spark, f"{d}/s.csv").collect()]
+    assert len(set(ids)) == 4 and set(ids) == {r.seq_id for r in S.read_sequences(spark, f"{d}/s.csv").repartition(3).collect()}
+
+
+def test_probability_and_consensus_files(spark):
+    d = _scratch()
+    probs = spark.createDataFrame([("m", 1, 0, "A", 0.5), ("k", 1, 0, "C", 0.25)], "model string, seq_id long, pos int, aa string, prob double")
+    K.write_probs(probs, probs.select("model", "seq_id", F.ln("prob").alias("pll")), f"{d}/p")
+    assert spark.read.parquet(f"{d}/p/residue_probs").filter("model = 'k'").first().aa == "C"
+    assert spark.read.parquet(f"{d}/p/likelihoods").count() == 2
+    os.makedirs(f"{d}/c1")
+    pd.DataFrame([["IGH", "IGHV1-2", "A", "B", "C", "D", "E", "F", "G"]], columns=["chain", "v_gene", "fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"]).to_csv(
+        f"{d}/c1/consensus_annotations.csv", index=False)
+    r = S.read_consensus(spark, [f"{d}/c1/consensus_annotations.csv"]).first()
+    assert r.source == "c1" and r.v_gene == "IGHV1-2" and r.seq_id is not None
+
+
+def test_square_matrix_refuses_large_groups(spark):
+    import pytest
+    pairs = spark.createDataFrame([(str(i), "g", 0.1) for i in range(20)], "src string, dst string, velocity double")
+    with pytest.raises(ValueError):
+        K.square_matrix(pairs, most=10)
+
+
 def test_sinks_pending_and_matrix(spark):
     d = _scratch()
     df = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.1)], "seq_id long, model string, pll double")
@@ -100,6 +155,10 @@ def test_stream_equals_batch_and_is_incremental(spark):
     got = spark.read.parquet(out)
     batch = K1.score_batch(S.read_contigs(spark, root), K1.load_model(spark, mpath), ["full_VDJ", "cdr3_from_VDJ"])
     assert got.count() == batch.count() > first > 0
+    K1.score_stream(spark, root, out, _scratch() + "/ckpt2", mpath, name="second")     # another model is not "done"
+    again = spark.read.parquet(out)
+    assert again.filter("model = 'second'").count() == got.filter("model = 'context'").count() == batch.count()
+    got = again.filter("model = 'context'")
     a = {(r.sample_id, r.contig_id, r.mode): r.pll for r in got.collect()}
     b = {(r.sample_id, r.contig_id, r.mode): r.pll for r in batch.collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a if a[k] is not None)
