@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonalyze.llm.common import bounded_batches, hot_aware_lookup, staged
+from clonalyze.llm.common import bounded_batches, hash_sample, hot_aware_lookup, staged
 
-SAMPLE = 20_000         # vectors the tree is fitted on
+SAMPLE = 20_000         # vectors, about, that the tree is fitted on
 LEAF_ROWS = 512         # rows of a leaf aimed at
 BRANCH = 8
-CALIBRATION = 256       # queries whose exact neighbours are found
+CALIBRATION = 256       # queries, about, whose exact neighbours are found
 RECALL = 0.98
 BLOCK = 8192            # rows, and queries, of one block
 
@@ -188,7 +188,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     queries = staged(n_by.join(classes.select("h", "vec", "cid"), (n_by["h"] == classes["h"]) & (F.col("q_vec") == F.col("vec")))
                      .select("cid", n_by["h"].alias("h"), "vec", "n"), "ann-queries")
     total = classes.count()
-    sample = _matrix(classes.orderBy("h", "cid").limit(SAMPLE).select("vec").toArrow().column(0))
+    sample = _matrix(hash_sample(classes, SAMPLE, total, "h").select("vec").toArrow().column(0))
     tree = fit_tree(unit(sample), max(8.0, LEAF_ROWS * len(sample) / total))
     shared = spark.sparkContext.broadcast(tree)     # at most SAMPLE / 8 leaves
 
@@ -268,7 +268,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 def _calibrated(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """Leaves to visit so that ``recall`` of the exact neighbours of sampled queries are in them."""
     spark = indexed.sparkSession
-    picked = queries.orderBy("h", "cid").limit(CALIBRATION).select("cid", "vec").toArrow()
+    picked = hash_sample(queries, CALIBRATION, queries.count(), "h").select("cid", "vec").toArrow()
     if picked.num_rows < 20:
         return tree.leaves
     q, cids = _matrix(picked.column("vec")), picked.column("cid").to_pylist()

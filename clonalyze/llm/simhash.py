@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonalyze.llm.common import bounded_batches, hot_aware_lookup, shuffle_partitions, staged
+from clonalyze.llm.common import bounded_batches, hash_sample, hot_aware_lookup, shuffle_partitions, staged
 
 BITS = 64
-SAMPLE = 4096      # fingerprints on which partitions and thresholds are planned
+SAMPLE = 4096      # fingerprints, about, on which partitions and thresholds are planned
 BUCKET = 2048      # entries that one task compares with each other at once
 _CHUNK = 1 << 14   # shingles unpacked at once
 
@@ -232,8 +232,7 @@ def near_links(fps: DataFrame, tau: int) -> DataFrame:
     spark = fps.sparkSession
     bounded_batches(spark)
     rows = fps.count()
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
-    # a bounded sample, used for planning only
+    sample = hash_sample(fps.select("fp"), SAMPLE, rows, "fp")      # bounded, used for planning only
     got = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64)
     parts = plan(got, rows, tau) if len(got) > 1 else [(mask_of(list(range(BITS))), 0)]
     schema = "mask bigint, value bigint, fp bigint"
