@@ -14,7 +14,7 @@ from clonalyze.session import ensure_checkpoint_dir
 from clonalyze.sources.tables import table
 
 __all__ = ["table", "bounded_batches", "shared_path", "staged", "shuffle_partitions", "broadcast_if_small",
-           "hot_aware_lookup", "Memo", "passed_through", "plain_names"]
+           "hot_aware_lookup", "Memo", "passed_through", "plain_names", "hash_sample"]
 
 #: Arrow batch bound for Python stages: a worker holds a few batches of this size, however long the texts are.
 BATCH_BYTES = 8 << 20
@@ -100,6 +100,16 @@ def _all_equal(pairs: list[tuple[Column, Column]]) -> Column:
     return out
 
 
+def hash_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
+    """About ``rows`` of the ``total`` rows of ``df`` (all, if fewer), chosen by hash of ``cols``.
+
+    A filter: the same rows on every run, and no task or driver sorts or merges candidates.
+    """
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in cols]), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+
+
 class Memo:
     """A worker's bounded memo of two generations: what was used lately survives."""
 
