@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonalyze.llm.common import bounded_batches, hash_sample, hot_aware_lookup, shuffle_partitions, staged
+from clonalyze.llm.common import bounded_batches, hash_sample, hot_aware_lookup, plain_names, shuffle_partitions, staged
 
 BITS = 64
 SAMPLE = 4096      # fingerprints, about, on which partitions and thresholds are planned
@@ -308,10 +308,19 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 2) -> DataFrame:
-    """The rows of ``df`` whose identifier names their component, and rows of components without identifier."""
-    decided = simhash_components(df, id_col, text_col, shingle, tau)
-    gone = staged(decided.filter(~F.col(id_col).eqNullSafe(F.col("component_id")))
-                  .select(F.col(id_col).alias("_gone")).distinct(), "simhash-gone")
-    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
-
+    """Exactly one row of each component: of the smallest identifier, nulls last; rows that tie are told apart by a row key.
 
+    Rows are decided and removed by the row key, so null and repeated identifiers
+    neither take other rows with them nor keep more than one row of a component.
+    """
+    plain, pos = plain_names(df)
+    keyed = staged(plain.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")     # staged: the keys stay as they are
+    own = F.col(pos[id_col])
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("_row").alias("row"))
+    marked = staged(fingerprints(keyed.select(key.alias("_key"), pos[text_col]), "_key", pos[text_col], shingle), "simhash-fp")
+    fps = staged(marked.groupBy("fp").agg(F.min("_key").alias("low")), "simhash-distinct")
+    roots = components(near_links(fps, tau))
+    placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("low", F.coalesce("root", "fp").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_row"))
+    gone = staged(marked.select(F.col("_key.row").alias("_row")).join(kept, "_row", "left_anti"), "simhash-gone")
+    return keyed.join(gone, "_row", "left_anti").select(*[F.col(pos[c]).alias(c) for c in df.columns])

@@ -121,6 +121,16 @@ def test_dedup_keeps_one_of_each_group_and_all_columns(rows):
     assert [tuple(x) for x in r.orderBy("doc_id").collect()] == [(3, text, "b", 2), (6, "other", "c", 3)]
 
 
+def test_dedup_with_null_and_repeated_identifiers(rows):
+    text, other = (" ".join(f"{x}{i}" for i in range(300)) for x in ("word", "other"))
+    data = [(5, text, "a"), (None, text, "b"), (None, "a clean text alone", "c"),       # a null identifier near an identified row
+            (7, text, "d"), (7, "another clean text", "e"),                             # an identifier that repeats with another text
+            (None, other, "f"), (None, other, "g"),                                     # near copies that all lack one
+            (8, "the same row twice", "h"), (8, "the same row twice", "i")]
+    got = sorted(r["at"] for r in S.simhash_dedup(rows("doc_id long, text string, at string", data)).collect())
+    assert len(got) == 5 and {"a", "c", "e"} < set(got) and len({"f", "g"} & set(got)) == 1 and len({"h", "i"} & set(got)) == 1
+
+
 def test_empty_table(rows):
     df = rows("doc_id long, text string", [])
     assert S.simhash_components(df).columns == ["doc_id", "fingerprint", "component_id"]
