@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonalyze.llm import ann, bpe, exact_dedup, lang_id, license_scan, mix, pii, simhash, toxicity, warc
+from clonalyze.llm import ann, bpe, exact_dedup, lang_id, license_scan, mix, periodic, pii, simhash, toxicity, warc
 from clonalyze.llm.common import table
 
 
@@ -133,6 +135,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs, shingle=3, tau=2)
 
 
+def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's repeats: by the hash of the identifier, a tenth of the texts turn periodic from word a on."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (3 + g % 8 + 1))[:n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, the longest one, and digests of runs and collapsed text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(docs, edit=_planted)
+    told = F.array_join(F.transform("_runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = F.array_min(F.transform("_runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    rows = found.select("doc_id", F.size("_runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length = -F.col("b.less")
+    return rows.select("doc_id", "n_runs", F.col("b.start").alias("start"), length.alias("length"), F.col("b.period").alias("period"),
+                       F.floor(length * 1000 / F.col("b.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over ``documents``."""
     import corpus_pipeline
@@ -151,5 +177,6 @@ ENTRIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
     "pipeline": (pipeline, None),
 }
