@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonalyze.llm import ann, bpe, exact_dedup, lang_id, license_scan, mix, periodic, pii, simhash, toxicity, warc
+from clonalyze.llm import ann, bpe, exact_dedup, lang_id, license_scan, mix, periodic, pii, simhash, substring, toxicity, warc
 from clonalyze.llm.common import table
 
 
@@ -135,6 +135,32 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs, shingle=3, tau=2)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 50-word window of an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT rid, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS x
+  FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50) t),
+f AS (SELECT x, min(doc_id) AS m FROM w GROUP BY x),
+c AS (SELECT rid, i, 1 AS hit FROM w JOIN f USING (x) WHERE w.doc_id > f.m OR (w.doc_id IS NULL AND f.m IS NOT NULL)),
+e AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+g AS (
+  SELECT e.rid, e.i, e.word, max(c.hit) OVER (PARTITION BY e.rid ORDER BY e.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM e LEFT JOIN c ON e.rid = c.rid AND e.i = c.i),
+k AS (
+  SELECT rid, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone IS NULL) AS kept
+  FROM g GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid
+"""
+
+
 def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's repeats: by the hash of the identifier, a tenth of the texts turn periodic from word a on."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -177,6 +203,7 @@ ENTRIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
+    "op11_substring_dedup": (op11_substring_dedup, OP11_SQL),
     "op13_periodic_runs": (op13_periodic_runs, None),
     "pipeline": (pipeline, None),
 }
