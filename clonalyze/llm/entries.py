@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonalyze.llm import ann, bpe, exact_dedup, lang_id, license_scan, mix, periodic, pii, simhash, substring, toxicity, warc
-from clonalyze.llm.common import table
+from clonalyze.llm import ann, bpe, exact_dedup, lang_id, license_scan, mix, periodic, pii, prefix_trie, simhash, substring, toxicity, warc
+from clonalyze.llm.common import broadcast_if_small, staged, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +161,61 @@ FROM d LEFT JOIN k ON d.rid = k.rid
 """
 
 
+HEAD = 8     # turns at most that a conversation takes from another
+
+
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, members) of the contract's rebuilt conversations: a head of the first of five, then the own turns after it."""
+    turns = staged(turns, "trie-numbered")
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % (HEAD + 1)
+    convs = staged(turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).select("conv", "n", h.alias("h"), (F.col("conv") - F.col("conv") % 5).alias("base")), "trie-conversations")
+    sizes = convs.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
+    convs = staged(convs.join(sizes, "base", "left").select("conv", "base", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("head")), "trie-heads")
+    # at most nine conversations share a base, and each takes at most HEAD of its turns
+    first = turns.filter(F.col("t") <= HEAD).withColumnRenamed("conv", "base")
+    heads = convs.filter("head > 0").join(first, "base").filter("t <= h").select("conv", "t", "role", "text")
+    tails = (turns.join(broadcast_if_small(convs.select("conv", "h", "head")), "conv").filter("t > h")
+             .select("conv", (F.col("t") - F.col("h") + F.col("head")).alias("t"), "role", "text"))
+    return heads.unionByName(tails), convs.select("conv")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(*_rebuilt(prefix_trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+# CRC-32 has no function in DuckDB: eight steps of one bit for every byte
+OP12_SQL = """
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+v AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+      lambda a, x: list_reduce(range(0, 8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(a, x)), 4294967295), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM o) x),
+z AS (SELECT v.c, v.base, v.h, least(v.h, coalesce(n.n, 0)) AS head FROM v LEFT JOIN (SELECT c, count(*) AS n FROM o GROUP BY c) n ON n.c = v.base),
+r AS (
+  SELECT z.c, o.t, o.role, o.text FROM z JOIN o ON o.c = z.base AND o.t <= z.h
+  UNION ALL SELECT z.c, o.t - z.h + z.head, o.role, o.text FROM z JOIN o ON o.c = z.c AND o.t > z.h),
+p AS (SELECT c, t AS d, octet_length(encode(text)) AS bytes,
+    md5(string_agg(md5(concat(length(role), ':', role, text)), ',') OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS k FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM v),
+g AS (SELECT d, k, min(c) AS m, count(*) AS n, max(bytes) AS bytes FROM p GROUP BY d, k),
+u AS (SELECT g.*, q.k AS pk, q.m AS pm FROM g LEFT JOIN p ON p.c = g.m AND p.d = g.d - 1 LEFT JOIN g q ON q.d = p.d AND q.k = p.k),
+f AS (SELECT d - 1 AS d, pk AS k, count(*) AS children FROM u WHERE d > 0 GROUP BY d - 1, pk),
+w AS (SELECT u.*, coalesce(f.children, 0) AS children FROM u LEFT JOIN f ON f.d = u.d AND f.k = u.k),
+s AS (
+  SELECT p.d, p.k, sum(CASE WHEN w.children = 0 THEN 1 ELSE 0 END) AS leaves, sum((w.n - 1) * w.bytes) AS saved
+  FROM w JOIN p ON p.c = w.m AND p.d <= w.d GROUP BY p.d, p.k),
+l AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+e AS (SELECT p.d, p.k, sha256(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c)) AS sha FROM p JOIN l ON l.c = p.c AND l.d = p.d GROUP BY p.d, p.k)
+SELECT w.m AS conv_id, CAST(w.d AS BIGINT) AS depth, w.pm AS parent_conv_id, w.n AS n_convs, CAST(w.children AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM w JOIN s ON s.d = w.d AND s.k = w.k LEFT JOIN e ON e.d = w.d AND e.k = w.k
+"""
+
+
 def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's repeats: by the hash of the identifier, a tenth of the texts turn periodic from word a on."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -204,6 +259,7 @@ ENTRIES = {
     "op9_personal_data": (op9_personal_data, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
     "op11_substring_dedup": (op11_substring_dedup, OP11_SQL),
+    "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
     "op13_periodic_runs": (op13_periodic_runs, None),
     "pipeline": (pipeline, None),
 }
