@@ -12,7 +12,8 @@ Entries meet in buckets (partition bits equal) and every pair of a bucket is
 verified on all 64 bits; a bucket emits only a spanning forest of its links.
 A bucket above ``BUCKET`` entries is never paired whole and never cut: its entries
 move on to finer buckets, where the bits that they don't share yet are split into
-``tau + 1`` groups, at least one of which any pair within ``tau`` bits shares. Buckets
+``tau + 1`` groups, at least one of which any pair within ``tau`` bits shares, until
+at most ``tau`` bits are left and the bucket is linked to its smallest. Buckets
 that hold over a thousandth of all entries move on before the shuffle.
 """
 
@@ -163,7 +164,7 @@ def _finer(tau: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         mask, value, fp = (b.column(i).to_numpy().view(np.uint64) for i in range(3))
         for own in np.unique(mask):
             at = mask == own
-            rest = [x for x in range(BITS) if not int(own) >> x & 1]
+            rest = [x for x in range(BITS) if not int(own) >> x & 1]     # more than tau
             for g in range(tau + 1):
                 more = np.uint64(mask_of(rest[g::tau + 1]))
                 yield _batch(np.full(at.sum(), own | more), value[at] | (fp[at] & more), fp[at])
@@ -253,11 +254,15 @@ def near_links(fps: DataFrame, tau: int) -> DataFrame:
         found = links if found is None else found.unionByName(links)
         over = done.filter(F.col("mask").isNotNull()).unionByName(
             level.join(F.broadcast(hot), ["mask", "value"], "left_semi").select("mask", "value", "fp"))
-        # all bits shared means equal fingerprints: nothing left to link
-        over = over.filter(F.col("mask") != -1)
+        # with at most tau bits not shared, all of a bucket's (at most 2^tau) fingerprints are near each other
+        alike = F.bit_count("mask") >= BITS - tau
+        stars = over.filter(alike).groupBy("mask", "value").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
+        found = found.unionByName(stars.select("a", F.explode("all").alias("b")).filter("a <> b"))
+        over = over.filter(~alike)
         if over.isEmpty():
             break
-        entries = over.mapInArrow(partial(_finer, tau), schema)
+        # every level shares more bits; an entry that several buckets pass on is kept once
+        entries = over.mapInArrow(partial(_finer, tau), schema).distinct()
     return found if found is not None else spark.createDataFrame([], "a bigint, b bigint")
 
 
