@@ -26,7 +26,7 @@ from clonalyze.llm.common import staged
 
 CONTEXT = 40        # characters of context on each side of a span
 ROUNDS = 12         # of expectation-maximisation
-PRIOR_SHARE = 0.1   # weight of the expected reliabilities against the data
+PRIOR_ROWS = 20     # candidates' worth of the expected reliabilities beside the data
 
 #: By labeler and vote: P(vote | personal), P(vote | not) that it is expected to have.
 EXPECTED = {
@@ -52,8 +52,8 @@ WIDER = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:password|passwd|token|api_key|secret)\x20?[=:]\x20?\x22?[0-9A-Za-z]{12,64}+\x22?",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?i:password|passwd|token|api_key|secret)\x20?[=:]\x20?\x22?[0-9A-Za-z]{12,}+\x22?",
 }
 
 #: Cue words by kind, in the four languages of the tables.
@@ -81,9 +81,13 @@ def _matches(text: Column, pattern: str, possible: Column) -> Column:
     return F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
 
-def _pieces(text: Column, pattern: str, found: Column, kind: str, origin: str) -> Column:
+def _gaps(text: Column, pattern: str, found: Column) -> Column:
+    """The text between the matches, split once."""
+    return F.when(F.size(found) > 0, F.split(text, pattern, -1))
+
+
+def _pieces(gaps: Column, found: Column, kind: str, origin: str) -> Column:
     """Matches in order with the length of the gap before and the context on both sides."""
-    gaps = F.split(text, pattern, -1)
     return F.when(F.size(found) > 0, F.transform(found, lambda m, i: F.struct(
         F.lit(kind).alias("kind"), F.lit(origin).alias("origin"), (i + 1).alias("nth"), m.alias("span"),
         F.length(F.get(gaps, i)).alias("gap"),
@@ -102,12 +106,15 @@ def _scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wide = digit | F.contains(t, F.lit("at]")) | F.contains(t, F.lit("at)"))
     cols = [_matches(t, BASE[k], possible[k]).alias(f"m_{k}") for k in BASE]
     cols += [_matches(t, WIDER[k], wide).alias(f"w_{k}") for k in WIDER]
+    every_match = [f"m_{k}" for k in BASE] + [f"w_{k}" for k in WIDER]
     found = has.select("id", "t", *cols)
-    parts = [_pieces(F.col("t"), BASE[k], F.col(f"m_{k}"), k, "base") for k in BASE]
-    parts += [_pieces(F.col("t"), WIDER[k], F.col(f"w_{k}"), k, "wider") for k in WIDER]
+    gapped = found.select("id", *every_match, *[_gaps(t, BASE[k], F.col(f"m_{k}")).alias(f"g_m_{k}") for k in BASE],
+                          *[_gaps(t, WIDER[k], F.col(f"w_{k}")).alias(f"g_w_{k}") for k in WIDER])
+    parts = [_pieces(F.col(f"g_m_{k}"), F.col(f"m_{k}"), k, "base") for k in BASE]
+    parts += [_pieces(F.col(f"g_w_{k}"), F.col(f"w_{k}"), k, "wider") for k in WIDER]
     kind = "array<struct<kind:string,origin:string,nth:int,span:string,gap:int,before:string,after:string>>"
     every = F.flatten(F.array(*[F.coalesce(p.cast(kind), F.array().cast(kind)) for p in parts]))
-    return found.select(F.monotonically_increasing_id().alias("rid"), "id", every.alias("pieces"))
+    return gapped.select(F.monotonically_increasing_id().alias("rid"), "id", every.alias("pieces"))
 
 
 def _digits(c: Column) -> Column:
@@ -143,9 +150,11 @@ def _spans(scanned: DataFrame) -> DataFrame:
 def _apart(spans: DataFrame) -> DataFrame:
     """Base spans, and wider ones that overlap no base span of their text."""
     is_base = F.col("origin") == "base"
-    order = Window.partitionBy("rid").orderBy("start", "end", "kind", "origin")
-    before = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    keys = ["start", "end", "kind", "origin"]
+    earlier = Window.partitionBy("rid").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(is_base, F.col("end"))).over(earlier.orderBy(*keys))
+    # what follows is running, too, in the opposite order
+    after = F.min(F.when(is_base, F.col("start"))).over(earlier.orderBy(*[F.col(k).desc() for k in keys]))
     marked = spans.withColumn("_b", before).withColumn("_a", after)
     clear = F.coalesce(F.col("_b") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_a") >= F.col("end"), F.lit(True))
     return marked.filter(is_base | clear).drop("_b", "_a")
@@ -198,8 +207,8 @@ def _reliabilities(patterns: DataFrame, rounds: int) -> tuple[float, dict[str, d
     """Prior, and P(vote | personal), P(vote | not) by labeler and vote, by expectation-maximisation.
 
     ``patterns`` counts candidates by their votes: a row per combination. A round is one
-    aggregation of it to a single row. A share of ``EXPECTED`` in the estimates keeps which of the
-    two classes is the personal one.
+    aggregation of it to a single row. It starts from ``EXPECTED``, which says which of the two classes is the
+    personal one; a constant ``PRIOR_ROWS`` of it keep rare votes from certainty, and fade as the data grow.
     """
     prior, p = 0.5, EXPECTED
     for _ in range(rounds):
@@ -214,7 +223,7 @@ def _reliabilities(patterns: DataFrame, rounds: int) -> tuple[float, dict[str, d
         if not r["all"]:
             break
         yes, no = r["yes"], r["all"] - r["yes"]
-        own = 1 + PRIOR_SHARE * r["all"]     # rows' worth of the expectation
+        own = PRIOR_ROWS
         prior = (yes + own) / (yes + no + 2 * own)
         p = {v: {x: ((r[f"{v}_{x}_y"] + own * EXPECTED[v][x][0]) / (yes + own), (r[f"{v}_{x}_a"] - r[f"{v}_{x}_y"] + own * EXPECTED[v][x][1]) / (no + own))
                  for x in (1, 0, -1)} for v in VOTES}

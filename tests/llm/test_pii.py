@@ -112,3 +112,12 @@ def test_reliabilities_recover_a_planted_model(spark):
 def test_main_path_runs_no_python(rows):
     df = D.annotate(rows("doc_id long, text string", [(1, "a@b.c")]))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_whole_secrets_in_any_case_and_short_ibans(rows):
+    long = "Ab3" * 50
+    texts = [f'TOKEN = "{"9233A8EC" * 3}"', f"password: {long} end", "iban NO93 8601 1117 947 is", "plain words"] * 8
+    got = {r["doc_id"]: r["spans"] for r in D.annotate(rows("doc_id long, text string", list(enumerate(texts))), at_least=0.0).collect()}
+    assert got[0] == f"secret:0:{len(texts[0])}"
+    assert got[1] == f"secret:0:{len('password: ') + len(long)}"
+    assert "iban:5:" in got[2] and got[3] == ""
