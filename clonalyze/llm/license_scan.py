@@ -114,9 +114,12 @@ RULES = [
 
 _SENTENCE_END = re.compile(r"(?<=[.!?:;])(?<!\bv\.)\s+|\n[ \t\r]*\n\s*")
 _LINE_END = re.compile(r"(?<=[.!?])(?<!\bv\.)[ \t]+|[\r\n]+")
-_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
+#: A licence expression: identifiers joined by AND, OR and WITH, in any brackets.
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t(]*[A-Za-z0-9.+:-]+(?:[ \t()]+(?i:AND|OR|WITH)[ \t(]+[A-Za-z0-9.+:-]+)*")
+_SPDX_TOKEN = re.compile(r"[A-Za-z0-9.+:-]+")
 _FIRST_WORD = re.compile(r"[\W_]*([^\W_]+)")
 _NOT_WORD = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normalise(sentence: str) -> str:
@@ -140,6 +143,17 @@ def ordered_rules() -> list[tuple[str, list[str]]]:
     return RULES + [(spdx, [f"name:{spdx}"]) for spdx in NAMES]
 
 
+def expression_licences(text: str, start: int, end: int) -> list[tuple[int, str]]:
+    """(position, identifier) of every licence in an SPDX expression; exceptions after WITH aren't licences."""
+    out, exception = [], False
+    for m in _SPDX_TOKEN.finditer(text, start, end):
+        if m.group().upper() in ("AND", "OR", "WITH"):
+            exception = m.group().upper() == "WITH"
+        elif not exception:
+            out.append((m.start(), m.group()))
+    return out
+
+
 class Recogniser:
     def __init__(self, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None):
         self.known = known_sentences() if known is None else known
@@ -161,10 +175,9 @@ class Recogniser:
                 end = m.start() if m else len(text)
                 start = at
                 while start < end:
-                    # far longer pieces can't normalise to a known sentence
                     word = _FIRST_WORD.match(text, start, end)
-                    if word and word.group(1).lower() in self.starts and end - start <= 4 * self.longest:
-                        got = self.known.get(normalise(text[start:end]))
+                    if word and word.group(1).lower() in self.starts:
+                        got = self.known.get(self.normalised(text, start, end))
                         if got is not None:
                             found.setdefault(word.start(1), got)
                             break
@@ -172,9 +185,20 @@ class Recogniser:
                     start = text.find("\n", start, end) + 1 or end
                 at = m.end() if m else end
         for m in _SPDX.finditer(text):
-            found.setdefault(m.start(), f"spdx:{m.group(1)}")
+            for at, licence in expression_licences(text, m.start() + len("SPDX-License-Identifier:"), m.end()):
+                found.setdefault(at, f"spdx:{licence}")
         return [found[i] for i in sorted(found)]
 
+    def normalised(self, text: str, start: int, end: int) -> str | None:
+        """``normalise`` of a piece of ``text``; None once its words are longer than any known sentence."""
+        words, n = [], -1
+        for m in _WORD.finditer(text, start, end):
+            words.append(m.group())
+            n += 1 + m.end() - m.start()
+            if n > 2 * self.longest:        # lower case may be shorter
+                return None
+        return normalise(" ".join(words))
+
     def licences(self, ids: list[str]) -> tuple[list[str], list[str]]:
         """(licences in order of their first sentence, identifiers that no rule used)."""
         left: list[str | None] = list(ids)

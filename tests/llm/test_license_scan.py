@@ -79,3 +79,18 @@ def test_table_nulls_repeats_names(rows):
     assert sorted([(r["doc_id"], r["licenses"]) for r in out.collect()], key=repr) == sorted(
         [(1, ["MIT"]), (1, ["MIT"]), (None, []), (2, []), (3, ["MIT"])], key=repr)
     assert L.scan(rows("doc_id long, text string", [])).count() == 0
+
+
+def test_padding_does_not_hide_a_sentence():
+    words = L.SENTENCES["mpl-notice"].split()
+    assert found((" " * 200).join(words) + ".") == (["MPL-2.0"], [])
+    assert found(("*" * 3000).join(words) + ".") == (["MPL-2.0"], [])
+    assert found("This " + "very " * 5000 + "long sentence.") == ([], [])
+
+
+def test_spdx_expressions():
+    for text, names in [("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", ["MIT", "Apache-2.0"]),
+                        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only"]),
+                        ("/* SPDX-License-Identifier: (LGPL-2.1-only and (MIT or BSD-3-Clause)) */ code", ["LGPL-2.1-only", "MIT", "BSD-3-Clause"]),
+                        ("SPDX-License-Identifier: MIT\nor Apache-2.0", ["MIT"]), ("SPDX-License-Identifier: GPL-3.0+ more words", ["GPL-3.0+"]), ("SPDX-License-Identifier:", [])]:
+        assert found(text) == (names, []), text
