@@ -30,12 +30,11 @@ FEATURES = 2048
 LEVELS = 3              # severity levels that a 0/1 label's positive rows are split into
 STEMS = (4, 5, 6)       # lengths of word beginnings
 _WORD = re.compile(r"\w+")
-_LONGEST = 40           # a longer word counts by its first letters
 
 
 def word_features(word: str) -> list[int]:
     """Hashed features of one lower-case word: the word and its beginnings."""
-    got = ["w" + word[:_LONGEST]] + ["^" + word[:k] for k in STEMS if len(word) > k]
+    got = ["w" + word] + ["^" + word[:k] for k in STEMS if len(word) > k]
     return [xxhash.xxh32_intdigest(g, 1) >> 1 for g in got]
 
 

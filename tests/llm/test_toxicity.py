@@ -90,3 +90,51 @@ def test_no_labels_find_nothing_toxic(rows):
         assert X.score(df, X.fit(df, rows("doc_id long, grade int", grades))).filter("toxic").count() == 0
     empty = rows("doc_id long, text string", [])
     assert X.score(empty, X.fit(empty, rows("doc_id long, grade int", []))).count() == 0
+
+
+def likelihood(w, thetas, x, grades, l2):
+    """Penalised log-likelihood of the cumulative-link model, row by row from its definition."""
+    total = -0.5 * l2 * float(w @ w)
+    for r, g in zip(x, grades, strict=True):
+        cum = [0.0, *(1 / (1 + np.exp(-(t - w[r].sum()))) for t in thetas), 1.0]
+        total += np.log(cum[g + 1] - cum[g])
+    return total
+
+
+def test_fit_is_the_maximum_of_the_likelihood():
+    """Coordinate search on the likelihood from its definition ends where the fit does."""
+    rnd = np.random.default_rng(7)
+    x = [np.flatnonzero(rnd.random(3) < 0.5) for _ in range(250)]
+    grades = np.searchsorted([0.0, 1.5], np.array([r.sum() - 1.0 for r in x]) + rnd.logistic(size=len(x)))
+    w, thetas = X.fit_ordinal(x, grades, 3, l2=1.0)
+    best, step = np.concatenate([np.zeros(3), [-0.5, 1.0]]), 0.5
+    value = likelihood(best[:3], best[3:], x, grades, 1.0)
+    while step > 1e-3:
+        moved = False
+        for i in range(5):
+            for s in (step, -step):
+                new = best.copy()
+                new[i] += s
+                if new[3] < new[4] and (v := likelihood(new[:3], new[3:], x, grades, 1.0)) > value:
+                    best, value, moved = new, v, True
+        step = step if moved else step / 2
+    assert np.allclose(w, best[:3], atol=0.03) and np.allclose(thetas, best[3:], atol=0.03)
+    assert likelihood(w, thetas, x, grades, 1.0) == pytest.approx(value, abs=0.02)
+
+
+def test_scores_equal_the_definition(rows):
+    data = corpus(500, 11) + [(600, None, 0), (601, "", 0), (602, "vile " * 50_000, 1), (603, "Vile-scum é trash!", 3)]
+    df = rows("doc_id long, text string", [(i, t) for i, t, _ in data])
+    model = X.fit(df, rows("doc_id long, grade int", [(i, g) for i, _, g in data[:500]]))
+    got = {r["doc_id"]: r for r in X.score(df, model).collect()}
+    for i, t, _ in data:
+        present = {f for word in X.doc_words(t) for f in X.word_features(word)}
+        linear = sum(v for f, v in model.weights.items() if f in present)
+        above = 1 / (1 + np.exp(-(linear - model.thetas)))
+        assert got[i]["severity"] == pytest.approx(above.sum(), abs=1e-9) and got[i]["p_toxic"] == pytest.approx(above[0], abs=1e-9)
+        assert got[i]["toxic"] == (above[0] >= 0.5) and got[i]["grade"] == int(np.argmax(-np.diff([1, *above, 0])))
+
+
+def test_long_words_count_whole():
+    a, b = "x" * 60 + "a", "x" * 60 + "b"
+    assert X.word_features(a)[0] != X.word_features(b)[0] and X.word_features(a)[1:] == X.word_features(b)[1:]
