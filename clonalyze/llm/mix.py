@@ -29,9 +29,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def id_hash(id_col: Column) -> Column:
-    """60 bits of the MD5 of the identifier as text (null: of the empty string), as a long."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def row_hash(id_col: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the identifier as text and the MD5 of the text (null: empty), as a long."""
+    key = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, cap: float) -> DataFrame:
@@ -99,21 +100,21 @@ def mix(df: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5,
 
     Adds ``_size`` (words), ``_source_size``, ``_target`` (of the source) and ``_copies``
     (times the mix takes the document), in place of columns of these names. Null text has size 0; a null source is a source
-    like any other, last in order; rows with the same identifier share their hash and are
-    taken together, null identifiers too. A source without words has target 0. An empty
-    table gives an empty result. Reruns agree: the hash is of the identifier alone.
+    like any other, last in order; rows with the same identifier and text share their hash and are
+    taken together; rows that only share a null or repeated identifier are not. A source without words has target 0. An empty
+    table gives an empty result. Reruns agree: the hash is of identifier and text alone.
     """
     spark = df.sparkSession
     names = df.columns
     slim = staged(df.select(F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size"),
-                            id_hash(F.col(f"`{id_col}`")).alias("_h")), "mix-sizes")
+                            row_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("_h")), "mix-sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = staged(thresholds(slim, source_targets(sizes, weights, budget, cap)), "mix-thresholds")
     small = broadcast_if_small(plan.select(*[F.col(c).alias(f"_mx_{c}") for c in plan.columns]))
     own = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
     pos = {c: f"_c{i}" for i, c in enumerate(names)}
     joined = own.join(small, F.col(pos[source_col]).eqNullSafe(F.col("_mx_source")), "left")
-    h = id_hash(F.col(pos[id_col]))
+    h = row_hash(F.col(pos[id_col]), F.col(pos[text_col]))
     extra = (h < F.col("_mx__below")) | ((h == F.col("_mx__below")) & F.col("_mx__at"))
     return joined.select(
         *[F.col(pos[c]).alias(c) for c in names if c not in ("_size", "_source_size", "_target", "_copies")], words(F.col(pos[text_col])).alias("_size"),

@@ -8,9 +8,14 @@ import pytest
 from clonalyze.llm.mix import mix, mixed
 
 
+def row_hash(i, t):
+    text = hashlib.md5((t or "").encode()).hexdigest()
+    return int(hashlib.md5(f"{'' if i is None else i}:{text}".encode()).hexdigest()[:15], 16)
+
+
 def brute(data, weights=(3, 1, 2)):
     """(doc_id, source, text) -> sorted (doc_id, size, source_size, target, copies) by sorting hashes."""
-    sized = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)) for i, s, t in data]
+    sized = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), row_hash(i, t)) for i, s, t in data]
     total = {}
     for _, s, n, _ in sized:
         total[s] = total.get(s, 0) + n
@@ -98,3 +103,13 @@ def test_mixed_repeats_rows_and_keeps_columns(rows):
         assert tuple(r) == data[r["doc_id"]]
     assert found == {k: v for k, v in copies.items() if v}
     assert max(found.values()) == 2
+
+
+def test_rows_without_identifier_are_not_one_unit(rows):
+    """A source of rows that share a null or repeated identifier meets its target within a document."""
+    data = [(None, "s", f"a b c {i}") for i in range(400)] + [(7, "t", f"d e f {i}") for i in range(400)] + [(i, "z", "x y") for i in range(50)]
+    r = got(rows("doc_id long, source string, text string", data))
+    close(r, brute(data))
+    for i, source_size in ((None, 1600), (7, 1600)):
+        own = [x for x in r if x[0] == i and x[2] == source_size]
+        assert abs(sum(x[4] for x in own) - own[0][3]) <= 4
