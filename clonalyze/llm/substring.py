@@ -151,10 +151,10 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extended(length: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, id, a, o, x, s): the extensions of the anchors that have to be extended."""
+    """(w, id, a, o, x, s): the extensions of the anchors that have to be extended."""
     words_of = Words()
     for b in batches:
-        for i, (digest, raw, hits) in enumerate(zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True)):
+        for i, (w, raw, hits) in enumerate(zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True)):
             todo = [t for t in hits if t["extend"]]
             if not todo:
                 continue
@@ -166,9 +166,9 @@ def _extended(length: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iter
                 starts = np.concatenate([np.arange(t["s0"], t["s1"] + 1) for t in part])
                 offset = np.repeat([t["p"] for t in part], n) - starts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest], pa.binary()).take(pa.array(np.zeros(len(starts), np.int64))), b.column(0).slice(i, 1).take(pa.array(np.zeros(len(starts), np.int64))),
+                    [pa.array(np.full(len(starts), w, np.int64)), b.column(0).slice(i, 1).take(pa.array(np.zeros(len(starts), np.int64))),
                      pa.array(np.repeat(np.array([t["a"] for t in part], np.int64), n)), pa.array(offset.astype(np.int32)),
-                     pa.array(np.concatenate(xs).view(np.int64)), pa.array(starts.astype(np.int32))], names=["digest", "id", "a", "o", "x", "s"])
+                     pa.array(np.concatenate(xs).view(np.int64)), pa.array(starts.astype(np.int32))], names=["w", "id", "a", "o", "x", "s"])
 
 
 def merged(spans: list[tuple[int, int, object]], length: int) -> list[tuple[int, int, object]]:
@@ -202,6 +202,23 @@ def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                                          names=["digest", "n_removed", "kept", "repeats"])
 
 
+def _looked_up(big: DataFrame, lookup: DataFrame, keys: list[str], total: int, own: list[str], share: int = 1000) -> DataFrame:
+    """Left join of ``big`` with ``lookup`` (one row a key, ``k`` = rows of ``big`` with it); adds its other columns.
+
+    The at most ``share`` keys that hold over ``total / share`` rows are broadcast. Their rows meet nothing in the
+    shuffle join of the rest, and are dealt out there by ``own``, which tells rows apart.
+    """
+    values = [c for c in lookup.columns if c not in keys]
+    hot = F.broadcast(lookup.filter(F.col("k") > total / share).select(*[F.col(c).alias(f"_h_{c}") for c in lookup.columns]))
+    rest = lookup.filter(F.col("k") <= total / share).select(*[F.col(c).alias(f"_r_{c}") for c in lookup.columns], F.lit(0).cast("long").alias("_r_place"))
+    first, others = keys[0], keys[1:]
+    hit = F.col("_h_k").isNotNull()
+    marked = (big.join(hot, [F.col(c) == F.col(f"_h_{c}") for c in keys], "left")
+              .withColumn("_first", F.when(~hit, F.col(first))).withColumn("_place", F.when(hit, F.xxhash64(*own)).otherwise(0)))
+    return (marked.join(rest, [F.col("_first") == F.col(f"_r_{first}"), F.col("_place") == F.col("_r_place"), *[F.col(c) == F.col(f"_r_{c}") for c in others]], "left")
+            .select(*big.columns, *[F.coalesce(f"_h_{v}", f"_r_{v}").alias(v) for v in values]))
+
+
 def _repeated(low, high, nulls):
     """Occurrences of at least two documents of different order (null identifiers come last)."""
     return low.isNotNull() & ((high > low) | (nulls > 0))
@@ -233,50 +250,51 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = src.schema["id"].dataType.simpleString()
     marks = staged(src.mapInArrow(partial(_marks, length, seed),
                                   f"id {kind}, digest binary, n bigint, anchors array<struct<a:bigint,v:bigint,p:int,s0:int,s1:int>>"), "substring-marks")
-    # one row per text: copies share its anchors
-    texts = staged(marks.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("anchors").alias("anchors")), "substring-texts")
-    occ = texts.select("digest", F.col("low").alias("id"), F.explode("anchors").alias("o")).select("digest", "id", "o.*")
+    # one row per text, numbered: copies share its anchors
+    texts = marks.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("anchors").alias("anchors"))
+    texts = staged(texts.withColumn("w", F.monotonically_increasing_id()), "substring-texts")
+    occ = texts.select("w", F.col("low").alias("id"), F.explode("anchors").alias("o")).select("w", "id", "o.*")
 
     # seeds: anchors of several documents
     nulls = F.count_if(F.col("id").isNull())
     seeds = (occ.groupBy("a").agg(F.min("id").alias("m"), F.max("id").alias("h"), nulls.alias("z"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.count(F.lit(1)).alias("k"))
              .filter(_repeated(F.col("m"), F.col("h"), F.col("z"))))
     seeds = staged(seeds.select("a", "m", (F.col("v0") != F.col("v1")).alias("several"), "k"), "substring-seeds")
-    total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    hits = staged(hot_aware_lookup(occ, seeds, ["a"], "k", total).filter(F.col("k").isNotNull()).drop("k"), "substring-hits")
+    total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 1
+    hits = staged(_looked_up(occ, seeds, ["a"], total, ["w", "p"]).filter(F.col("k").isNotNull()).drop("k"), "substring-hits")
 
     # anchors with one context: their documents agree on all its windows
     agreed = hits.filter(~F.col("several") & _later(F.col("id"), F.col("m")))
     # several contexts: agreed within a context, and the first of each context is extended
     open_ = hits.filter("several").drop("m", "several")
     contexts = staged(open_.groupBy("a", "v").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("k")), "substring-contexts")
-    judged = staged(hot_aware_lookup(open_, contexts, ["a", "v"], "k", total), "substring-judged")
-    agreed = agreed.select("digest", "s0", "s1", F.col("m").alias("src")).unionByName(
-        judged.filter(_later(F.col("id"), F.col("m"))).select("digest", "s0", "s1", F.col("m").alias("src")))
-    extend = judged.filter(F.col("id").eqNullSafe(F.col("m"))).select("digest", "a", "p", "s0", "s1")
+    judged = staged(_looked_up(open_, contexts, ["a", "v"], total, ["w", "p"]), "substring-judged")
+    agreed = agreed.select("w", "s0", "s1", F.col("m").alias("src")).unionByName(
+        judged.filter(_later(F.col("id"), F.col("m"))).select("w", "s0", "s1", F.col("m").alias("src")))
+    extend = judged.filter(F.col("id").eqNullSafe(F.col("m"))).select("w", "a", "p", "s0", "s1")
 
     # the texts that may lose words or take them from others, each with its anchors to extend
     none = F.lit(None)
-    todo = (agreed.select("digest", none.cast("bigint").alias("a"), none.cast("int").alias("p"), "s0", "s1", F.lit(False).alias("extend"), "src")
-            .unionByName(extend.select("digest", "a", "p", "s0", "s1", F.lit(True).alias("extend"), none.cast(kind).alias("src"))))
-    by_text = todo.groupBy("digest").agg(F.collect_list(F.struct("a", "p", "s0", "s1", "extend", "src")).alias("hits"))     # of one text
-    needed = by_text.join(texts.select("digest", F.col("low").alias("_low")), "digest")
-    bodies = src.mapInArrow(_digested, f"id {kind}, text string, digest binary")
+    todo = (agreed.select("w", none.cast("bigint").alias("a"), none.cast("int").alias("p"), "s0", "s1", F.lit(False).alias("extend"), "src")
+            .unionByName(extend.select("w", "a", "p", "s0", "s1", F.lit(True).alias("extend"), none.cast(kind).alias("src"))))
+    by_text = todo.groupBy("w").agg(F.collect_list(F.struct("a", "p", "s0", "s1", "extend", "src")).alias("hits"))     # of one text
+    needed = by_text.join(texts.select("w", "digest", F.col("low").alias("_low")), "w")
     # the row that stands for a text is found by text and identifier, so that copies spread
     needed = needed.withColumn("key", F.xxhash64("digest", F.col("_low").isNull(), "_low"))
+    bodies = src.mapInArrow(_digested, f"id {kind}, text string, digest binary")
     work = (bodies.withColumn("key", F.xxhash64("digest", F.col("id").isNull(), "id")).select("digest", "key", "text").join(needed, ["digest", "key"])
-            .groupBy("digest", "key").agg(F.first("_low").alias("id"), F.first("text").alias("text"), F.first("hits").alias("hits")))
+            .groupBy("digest", "key").agg(F.first("w").alias("w"), F.first("_low").alias("id"), F.first("text").alias("text"), F.first("hits").alias("hits")))
     work = staged(work.drop("key"), "substring-work")
 
-    windows = staged(work.select("id", "digest", "text", "hits").mapInArrow(partial(_extended, length, seed), f"digest binary, id {kind}, a bigint, o int, x bigint, s int"), "substring-extended")
+    windows = staged(work.select("id", "w", "text", "hits").mapInArrow(partial(_extended, length, seed), f"w bigint, id {kind}, a bigint, o int, x bigint, s int"), "substring-extended")
     met = (windows.groupBy("a", "o", "x").agg(F.min("id").alias("m"), F.max("id").alias("h"), nulls.alias("z"), F.count(F.lit(1)).alias("k"))
            .filter(_repeated(F.col("m"), F.col("h"), F.col("z"))))
     met = staged(met.select("a", "o", "x", "m", "k"), "substring-met")
-    found = hot_aware_lookup(windows, met, ["a", "o", "x"], "k", max(1, windows.count())).filter(_later(F.col("id"), F.col("m")))
-    extended = found.groupBy("digest").agg(F.collect_list(F.struct(F.col("s").alias("s0"), F.col("s").alias("s1"), F.col("m").alias("src"))).alias("more"))     # of one text
+    found = _looked_up(windows, met, ["a", "o", "x"], max(1, windows.count()), ["w", "s"]).filter(_later(F.col("id"), F.col("m")))
+    extended = found.groupBy("w").agg(F.collect_list(F.struct(F.col("s").alias("s0"), F.col("s").alias("s1"), F.col("m").alias("src"))).alias("more"))     # of one text
     direct = F.transform(F.filter("hits", lambda t: ~t["extend"]), lambda t: F.struct(t["s0"].alias("s0"), t["s1"].alias("s1"), t["src"].alias("src")))
     spans = F.concat(direct, F.coalesce("more", F.array().cast(f"array<struct<s0:int,s1:int,src:{kind}>>")))
-    cut = (work.join(extended, "digest", "left").select("digest", "text", spans.alias("spans")).filter(F.size("spans") > 0)
+    cut = (work.join(extended, "w", "left").select("digest", "text", spans.alias("spans")).filter(F.size("spans") > 0)
            .mapInArrow(partial(_cut, length), f"digest binary, n_removed bigint, kept string, repeats array<struct<start:bigint,end:bigint,src:{kind}>>"))
     cut = staged(cut, "substring-cut")
 
