@@ -5,11 +5,13 @@ repertoire (J7) and summarise (E22). The flagship query lives here.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonalyze.functions.regions import collapse_isotype, full_vdj, gene_family, input_columns, seq_length
+from clonalyze.functions.regions import REGIONS, collapse_isotype, full_vdj, gene_family, input_columns, seq_length, v_gene_part
+from clonalyze.operators.arrays import ContextArray, counted, letters, profile_value, slice_total, total, with_profile
 from clonalyze.operators.joins import natural_join
 from clonalyze.operators.likelihood import pseudo_log_likelihood
 from clonalyze.functions.residues import SKIP_CHARS
@@ -49,17 +51,16 @@ def score(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence
           id: str | None = "seq_id") -> DataFrame:
     """Long table (keys, model, mode, n_pos, pll) for every mode and model.
 
-    One pass: each contig row is exploded over the modes, then over its residues;
-    every model looks up its probability on the same residue rows (broadcast
-    model tables), and one aggregation per (keys, mode) gives all the models'
-    scores, unpivoted at the end. Rows whose mode input is null (a missing
-    region) are dropped, as the scoring scripts do.
-
-    When the rows have a unique ``id``, only that id travels through the
-    exploded residue table (about 120 rows per sequence) and the other key
-    columns are joined back to the per-sequence scores.
+    Rows whose mode input is null (a missing region) are dropped, as the scoring scripts do. Contigs scored by
+    fitted models stay one row each until the scores of the modes are unpivoted (``mode_scores``); any other
+    provider looks its probabilities up on exploded residues.
     """
     keys = list(keys)
+    if _by_arrays(modes, models):
+        per = mode_scores(contigs, modes, models, keys)
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(m).alias("mode"), F.col(f"_n_{m}").alias("n_pos"), F.col(f"_pll_{n}_{m}").alias("pll"))
+                                   for m in modes for n in models])).alias("_s")
+        return per.select(*keys, each).select(*keys, "_s.*").filter("n_pos is not null").select(*keys, "model", "mode", "n_pos", "pll")
     if id and id in contigs.columns and len(keys) > 1 and id in keys:
         narrow = score(contigs, modes, models, [id], id=None)
         meta = contigs.select(*keys)
@@ -89,17 +90,88 @@ def _looked_up(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Seq
     return res
 
 
+ARRAY_MODES = ("cdr3_only", "v_gene_only", "full_VDJ", "cdr3_from_VDJ")
+
+
+def _by_arrays(modes: Sequence[str], models: dict) -> bool:
+    return set(modes) <= set(ARRAY_MODES) and all(
+        (isinstance(m, ContextModel) and len(m.by) <= 1) or isinstance(m, ProfileModel) for m in models.values())
+
+
+def mode_scores(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence[str]) -> DataFrame:
+    """Every mode's ``_n_{mode}`` (null where its input is) and ``_pll_{model}_{mode}`` on the contig's own row.
+
+    The regions that a contig has make one sequence, and every model one array of log probabilities of its residues. A mode
+    is a window of it: its score is the sum over a slice. Only what a window sees differently is looked up anew: the
+    first and the last residue, whose neighbour is the window's end, and positions that a profile counts from the
+    window's start. Nothing is exploded or shuffled.
+    """
+    keys = list(keys)
+    lengths = [F.coalesce(F.length(r), F.lit(0)) for r in REGIONS]
+    v_end = sum(lengths[1:5], lengths[0])
+    has = {"cdr3_only": F.col("cdr3").isNotNull(), "v_gene_only": v_gene_part().isNotNull(), "full_VDJ": full_vdj().isNotNull(), "cdr3_from_VDJ": full_vdj().isNotNull()}
+    base = contigs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], gene_family("v_gene").alias("v_family"), chain_type().alias("chain_type"),
+                          letters(F.concat(*[F.coalesce(r, F.lit("")) for r in REGIONS])).alias("_s"), v_end.cast("int").alias("_v"),
+                          (v_end + lengths[5]).cast("int").alias("_c"), *[has[m].alias(f"_has_{m}") for m in modes])
+    n = F.size("_s")
+    windows = {"cdr3_only": (F.col("_v"), F.col("_c")), "v_gene_only": (F.lit(0), F.col("_v")), "full_VDJ": (F.lit(0), n), "cdr3_from_VDJ": (F.col("_v"), F.col("_c"))}
+    ok = F.transform("_s", lambda c: F.when(counted(c), F.lit(1.0)))
+    own, cols = base.withColumn("_ok", ok), []
+    sums = {}
+    for name, model in models.items():
+        logs = f"_l_{name}"
+        if isinstance(model, ContextModel):
+            t = ContextArray.of(model)
+            own = own.withColumn(f"_y_{name}", t.codes(F.col("_s")))
+            codes = F.col(f"_y_{name}")
+            log_at = partial(_log_at, t)
+            own = own.withColumn(logs, t.over("_s", codes, lambda c, p: F.when(counted(c), F.ln(p))))
+            edge = (F.lit(t.size - 2), F.lit(t.size - 1))
+            for m in modes:
+                a, z = windows[m]
+                whole = slice_total(F.col(logs), a, z)
+                if m == "cdr3_only":
+                    inner = slice_total(F.col(logs), a + 1, z - 1)
+                    first = log_at(a, edge[0], F.get(codes, a + 1))
+                    last = log_at(z - 1, F.get(codes, z - 2), edge[1])
+                    alone = log_at(a, *edge)
+                    whole = F.when(z - a > 1, inner + F.coalesce(first, F.lit(0.0)) + F.coalesce(last, F.lit(0.0))).when(z - a == 1, F.coalesce(alone, F.lit(0.0))).otherwise(0.0)
+                elif m == "v_gene_only":
+                    last = log_at(z - 1, F.when(z > 1, F.get(codes, z - 2)).otherwise(edge[0]), edge[1])
+                    whole = F.when(z > 0, slice_total(F.col(logs), F.lit(0), z - 1) + F.coalesce(last, F.lit(0.0))).otherwise(0.0)
+                sums[name, m] = whole
+        else:
+            own = with_profile(own, model)
+            own = own.withColumn(logs, F.transform("_s", lambda c, i: F.when(counted(c), F.ln(profile_value(F.col("_profile"), i, c)))))
+            if "cdr3_only" in modes:
+                a, z = windows["cdr3_only"]
+                part = F.when(z > a, F.slice("_s", a + 1, z - a)).otherwise(F.array().cast("array<string>"))
+                moved = F.transform(part, lambda c, i: F.when(counted(c), F.ln(profile_value(F.col("_profile"), i, c))))
+                own = own.withColumn(f"_q_{name}", moved)
+            for m in modes:
+                a, z = windows[m]
+                sums[name, m] = total(F.col(f"_q_{name}")) if m == "cdr3_only" else slice_total(F.col(logs), a, z)
+            own = own.drop("_profile")
+    for m in modes:
+        a, z = windows[m]
+        present = F.when(F.col(f"_has_{m}"), slice_total(F.col("_ok"), a, z).cast("long"))
+        cols.append(present.alias(f"_n_{m}"))
+        cols += [F.when(present > 0, sums[name, m] / present).alias(f"_pll_{name}_{m}") for name in models]
+    return own.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *cols)
+
+
+def _log_at(t: ContextArray, i: Column, left: Column, right: Column) -> Column:
+    """Log probability of residue ``i`` between two other symbols."""
+    c = F.get("_s", i)
+    return F.when(counted(c), F.ln(t.value(left, right, c)))
+
+
 def score_wide(contigs: DataFrame, modes: Sequence[str], models: dict, keys: Sequence[str], id: str = "seq_id") -> DataFrame:
-    """J6 from the residues in one aggregation by ``id``: a column ``evo_likelihood_{model}_{mode}``
-    each; the other keys are joined last. Rows that miss a mode are dropped, like an inner join."""
-    res = _looked_up(contigs, modes, models, [id])
-    ok = F.col("aa").isNotNull() & ~F.col("aa").isin(*SKIP_CHARS)
-    aggs = [F.max(F.when(F.col("mode") == m, True)).alias(f"_has_{m}") for m in modes]
-    aggs += [F.avg(F.when(ok & (F.col("mode") == m), F.ln(f"_p_{n}"))).alias(f"evo_likelihood_{n}_{m}") for m in modes for n in models]
-    per = res.groupBy(id).agg(*aggs)
+    """J6 on the contig's own row: a column ``evo_likelihood_{model}_{mode}`` each. Rows that miss a mode are dropped, like an inner join."""
+    per = mode_scores(contigs, modes, models, keys)
     for m in modes:
-        per = per.filter(F.col(f"_has_{m}"))
-    return contigs.select(*keys).join(per.drop(*[f"_has_{m}" for m in modes]), id)
+        per = per.filter(F.col(f"_n_{m}").isNotNull())
+    return per.select(*keys, *[F.col(f"_pll_{n}_{m}").alias(f"evo_likelihood_{n}_{m}") for m in modes for n in models])
 
 
 def aggregate_scores(scores: DataFrame, keys: Sequence[str], models: Sequence[str], modes: Sequence[str]) -> DataFrame:
