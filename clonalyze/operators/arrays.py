@@ -120,3 +120,13 @@ def total(logs: Column) -> Column:
 def slice_total(logs: Column, start: Column, end: Column) -> Column:
     """Sum over the 0-based half-open window."""
     return F.when(end > start, total(F.slice(logs, start + 1, end - start))).otherwise(F.lit(0.0))
+
+
+def sequence_scores(df: DataFrame, model: ContextModel, keep: list[str], seq: str = "sequence") -> DataFrame:
+    """E1 inside the row: ``keep``, n_pos and the mean log probability of the residues (null without any)."""
+    t = ContextArray.of(model)
+    chars = df.select(*keep, *model.by, letters(F.col(seq)).alias("_s"))
+    coded = chars.select("*", t.codes(F.col("_s")).alias("_y"))
+    logs = coded.select(*keep, t.over("_s", F.col("_y"), lambda c, p: F.when(counted(c), F.ln(p))).alias("_l"))
+    n = F.size(F.filter("_l", lambda x: x.isNotNull())).cast("long")
+    return logs.select(*keep, n.alias("n_pos"), F.when(n > 0, total(F.col("_l")) / n).alias("pll"))

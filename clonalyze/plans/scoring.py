@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonalyze.functions.regions import REGIONS, collapse_isotype, full_vdj, gene_family, input_columns, seq_length, v_gene_part
-from clonalyze.operators.arrays import ContextArray, counted, letters, profile_value, slice_total, total, with_profile
+from clonalyze.operators.arrays import ContextArray, counted, letters, profile_value, sequence_scores, slice_total, total, with_profile
 from clonalyze.operators.joins import natural_join
-from clonalyze.operators.likelihood import pseudo_log_likelihood
 from clonalyze.functions.residues import SKIP_CHARS
 from clonalyze.operators.models import ContextModel, ProfileModel, residues
 from clonalyze.session import materialize
@@ -234,6 +233,5 @@ def pll_by_isotype_family(contigs: DataFrame) -> DataFrame:
         full_vdj().alias("sequence")).filter(F.col("sequence").isNotNull())
     heavy = materialize(heavy)   # fitted on and scored against the same rows
     model = ContextModel().fit(heavy)
-    res = residues(heavy, "sequence", keep=["seq_id", "isotype", "v_family"], outer=True)
-    pll = pseudo_log_likelihood(model.lookup(res), ["seq_id", "isotype", "v_family"])
+    pll = sequence_scores(heavy, model, ["seq_id", "isotype", "v_family"])
     return distribution(pll, ["isotype", "v_family"])
