@@ -39,7 +39,7 @@ repertoire AS (SELECT seq_id, sample_id, substr(barcode, 1, length(barcode) - 2)
 FROM contigs WHERE chain = 'IGH')"""
 
 _LINEAGE_NODES = """
-lineage_s AS (SELECT seq_id, fwr1 || cdr1 || fwr2 || cdr2 || fwr3 || cdr3 || fwr4 AS q FROM contigs WHERE chain = 'IGH' AND fwr4 IS NOT NULL),
+lineage_s AS (SELECT seq_id, concat(fwr1, cdr1, fwr2, cdr2, fwr3, cdr3, fwr4) AS q FROM contigs WHERE chain = 'IGH'),
 lineage_n AS (SELECT 1 AS label UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6),
 lineage_nodes AS (SELECT 'L' || CAST(seq_id AS VARCHAR) AS sample_clonotype, CAST(label AS INT) AS label,
   CASE WHEN label = 1 THEN q
@@ -56,7 +56,7 @@ _TOKEN_LABELS = """
 token_labels AS (SELECT seq_id, CAST(p AS INT) AS pos, substr(q, CAST(p AS INT), 1) AS aa,
   CASE WHEN p BETWEEN 26 AND 33 OR p BETWEEN 51 AND 58 OR p > 96 THEN 'P' ELSE 'N' END AS label,
   CAST((seq_id * 31 + p * 17) % 100 AS DOUBLE) / 100 AS prob
-FROM (SELECT seq_id, q, unnest(range(1, length(q) + 1)) AS p FROM (SELECT seq_id, fwr1 || cdr1 || fwr2 || cdr2 || fwr3 || cdr3 AS q FROM contigs WHERE chain = 'IGH') a) z)"""
+FROM (SELECT seq_id, q, unnest(range(1, length(q) + 1)) AS p FROM (SELECT seq_id, concat(fwr1, cdr1, fwr2, cdr2, fwr3, cdr3, fwr4) AS q FROM contigs WHERE chain = 'IGH') a) z)"""
 
 _SCORED_BINARY = """
 scored_binary AS (SELECT l.doc_id AS id, l.quality AS label, round(CAST(d.n_chars % 997 AS DOUBLE) / 997, 2) AS score

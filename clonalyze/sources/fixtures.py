@@ -116,8 +116,8 @@ def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six nodes per tree; label 1 is the observed sequence, 6 the germline root."""
     s = (contigs(spark, sf_dir)
-         .filter((F.col("chain") == "IGH") & F.col("fwr4").isNotNull())
-         .select("seq_id", cat(*REGIONS).alias("q")))
+         .filter(F.col("chain") == "IGH")
+         .select("seq_id", F.concat(*[F.coalesce(r, F.lit("")) for r in REGIONS]).alias("q")))
     n = s.select("seq_id", "q", F.explode(F.sequence(F.lit(1), F.lit(LINEAGE_LABELS))).alias("label"))
     q, lab = F.col("q"), F.col("label")
     at = lab * 10
@@ -136,9 +136,9 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per residue of fwr1..cdr3 of heavy chains: paratope label and a score."""
+    """One row per residue of heavy chains: paratope label and a score."""
     q = (contigs(spark, sf_dir).filter(F.col("chain") == "IGH")
-         .select("seq_id", cat(*REGIONS[:6]).alias("q")))
+         .select("seq_id", F.concat(*[F.coalesce(r, F.lit("")) for r in REGIONS]).alias("q")))
     z = q.select("seq_id", "q", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("p"))
     p = F.col("p")
     paratope = p.between(26, 33) | p.between(51, 58) | (p > 96)
