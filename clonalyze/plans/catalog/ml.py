@@ -17,6 +17,7 @@ from clonalyze.operators.aggregates import best_by
 from clonalyze.operators.embed import long_form
 from clonalyze.operators.joins import multi_member
 from clonalyze.plans.catalog.views_sql import with_views as W
+from clonalyze.plans.clusters import cluster_benchmark
 from clonalyze.session import materialize
 from clonalyze.sources import fixtures as fx
 from clonalyze.sources.tables import table
@@ -109,6 +110,12 @@ def m12(spark, sf):
     return out
 
 
+@reg("M10_M12_benchmark_by_sample")
+def m12_by_sample(spark, sf):
+    """ARI of k-means and Ward clusters against the clonotypes, by method, model and sample; k = number of clonotypes."""
+    return cluster_benchmark(fx.repertoire(spark, sf))
+
+
 @reg("M13_sweep_k")
 def m13(spark, sf):
     """ARI by number of clusters, the best one marked."""
