@@ -10,9 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clonalyze.functions.residues import ALPHABET, IGNORE, SPECIAL_TOKENS, tokenize
 from clonalyze.operators.dedupe import rank_within
+from clonalyze.operators.joins import null_safe_join
+from clonalyze.session import cut_lineage
 
 # Corpus split 15,000,000 / 1,875,000 / 1,875,000 of 18.75 M, i.e. 80/10/10.
 CORPUS_SPLIT = [("train", 0.8), ("val", 0.1), ("test", 0.1)]
@@ -45,6 +48,38 @@ def nested_split(df: DataFrame, key: str, eval_size: float = 0.1, test_size: flo
     return second.withColumn("split", F.when(F.col("_s1") == "eval", "eval").otherwise(F.col("_s2"))).drop("_s1", "_s2")
 
 
+SPLIT_BITS, LEVEL_BITS = 60, 12     # of the hash, and of it that one histogram tells apart
+
+
+def stratified_split(df: DataFrame, cls: str, key: str, eval_size: float = 0.1, salt: str = "", out: str = "split") -> DataFrame:
+    """G4 (stratified): of every class the share ``eval_size`` of its rows, to the nearest row, is 'eval', the rest 'train'.
+
+    A class's eval rows are those of the smallest hashes of salt and key, so re-runs agree. The threshold is found without sorting: rows
+    are counted by class and hash bucket (with map-side combine, at most 4,096 buckets a class), and only the bucket in which
+    the running count reaches the share is refined by the next bits. Rows of one class and key share a hash and stay together; null is a class
+    like any other.
+    """
+    def h(k: str) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(k).cast("string"))), 1, SPLIT_BITS // 4), 16, 10).cast("long")
+
+    open_ = cut_lineage(df.select(F.col(cls).alias("_cls"), h(key).alias("_h")))
+    want = cut_lineage(open_.groupBy("_cls").agg(F.floor(F.count(F.lit(1)) * F.lit(float(eval_size)) + 0.5).cast("long").alias("_want")))
+    open_ = null_safe_join(open_, want.filter("_want > 0"), ["_cls"]).withColumn("_before", F.lit(0).cast("long"))
+    for shift in range(SPLIT_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+        hist = open_.groupBy("_cls", "_want", "_before", F.expr(f"shiftright(_h, {shift})").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        run = hist.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy("_cls").orderBy("_b")))
+        edge = run.filter("_to >= _want").groupBy("_cls").agg(F.min(F.struct("_b", (F.col("_to") - F.col("_n")).alias("_start"), "_to", "_want")).alias("_e"))
+        edge = cut_lineage(edge.select("_cls", "_e.*"))
+        if shift:
+            nxt = null_safe_join(open_.drop("_want", "_before"), edge.select("_cls", "_b", "_want", F.col("_start").alias("_before")), ["_cls"])
+            open_ = cut_lineage(nxt.filter(F.expr(f"shiftright(_h, {shift})") == F.col("_b")).drop("_b"))
+    # the hash at the edge counts if that brings the class nearer to its share
+    at = F.when(F.col("_to") - F.col("_want") <= F.col("_want") - F.col("_start"), F.col("_b")).otherwise(F.col("_b") - 1)
+    below = edge.select(F.col("_cls").alias(cls), at.alias("_below"))
+    j = null_safe_join(df, below, [cls], "left")
+    return j.select(*[c for c in df.columns if c != out], F.when(h(key) <= F.col("_below"), "eval").otherwise("train").alias(out))
+
+
 def label_arrays(tokens: DataFrame, keys: Sequence[str] = ("seq_id",), pos: str = "pos", label: str = "label",
                  aa: str = "aa") -> DataFrame:
     """Per-sequence residue and label arrays in position order (one sequence's

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clonalyze.functions.regions import full_vdj
+from clonalyze.functions.regions import full_vdj, gene_family
 from clonalyze.functions.residues import ALPHABET, binary_class, encode_labels, mask_render, pad_labels, tokenize
 from clonalyze.operators import corpus as CO
 from clonalyze.operators.filters import oas_quality
@@ -54,6 +54,15 @@ def g4(spark, sf):
     return CO.nested_split(fx.scored_multi(spark, sf), "id", 0.1, 0.2, salt="seed42").select("id", "split")
 
 
+@reg("G4_stratified_split", """WITH f AS (SELECT seq_id, split_part(v_gene, '-', 1) AS v_family FROM contigs),
+r AS (SELECT seq_id, v_family, count(*) OVER (PARTITION BY v_family) AS n,
+  row_number() OVER (PARTITION BY v_family ORDER BY substr(md5(concat_ws(':', 'strata', CAST(seq_id AS VARCHAR))), 1, 15)) AS r FROM f)
+SELECT seq_id, v_family, CASE WHEN r <= floor(n * 0.15 + 0.5) THEN 'eval' ELSE 'train' END AS split FROM r""", ("contigs",))
+def g4_stratified(spark, sf):
+    c = fx.contigs(spark, sf).select("seq_id", gene_family("v_gene").alias("v_family"))
+    return CO.stratified_split(c, "v_family", "seq_id", 0.15, "strata").select("seq_id", "v_family", "split")
+
+
 @reg("H13_H14_H16_label_arrays", """WITH t AS (SELECT seq_id, list(aa ORDER BY pos) AS residues, list(label ORDER BY pos) AS labels,
   list(CAST(round_even(prob, 0) AS INT) ORDER BY pos) AS preds FROM token_labels GROUP BY seq_id),
 e AS (SELECT seq_id, residues, preds, list_transform(labels, lambda x: CASE WHEN x = 'P' THEN 1 ELSE 0 END) AS enc FROM t)

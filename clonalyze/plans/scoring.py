@@ -209,14 +209,20 @@ def combine(repertoire: DataFrame, scores: DataFrame) -> DataFrame:
             .withColumn("full_vdj_length", seq_length(full_vdj("hc_"))))
 
 
-def distribution(scored: DataFrame, by: Sequence[str], value: str = "pll") -> DataFrame:
-    """Algebraic summary per group (count, mean, sample sd, min, max).
+def distribution(scored: DataFrame, by: Sequence[str], value: str = "pll", quartiles: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Summary per group (count, mean, sample sd, min, max), with ``quartiles`` also q1, median and q3.
 
     Only mergeable aggregates: a hot group is combined map-side and never
-    collected into one task.
+    collected into one task. Quartiles come from a mergeable quantile sketch (Greenwald-Khanna) of bounded size: a value whose
+    rank is off by at most 1 / ``accuracy`` of the group's rows, exact for groups of up to ``accuracy`` rows.
     """
     v = F.col(value)
+    more = []
+    if quartiles:
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        more = [F.round(F.get(q, F.lit(i)), 6).alias(n) for i, n in enumerate(("q1_pll", "median_pll", "q3_pll"))]
     return scored.groupBy(*by).agg(
+        *more,
         F.count(v).cast("long").alias("n_seq"), F.round(F.avg(v), 6).alias("mean_pll"),
         F.round(F.stddev_samp(v), 6).alias("sd_pll"), F.round(F.min(v), 6).alias("min_pll"),
         F.round(F.max(v), 6).alias("max_pll"))

@@ -8,11 +8,14 @@ from tests.conftest import SF001
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
-PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF", "MapInArrow",
+                "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas")
+# twins that do run Python in tasks: neighbour blocks, and operators of the training-data list in a style of their own
+PYTHON_TWINS = {"C13_knn_candidates", "op2_exact_dedup", "op4_warc", "op11_substring_dedup", "op12_prefix_trie"}
 # fitted-model queries run estimator jobs while being defined; check them by test instead
 SKIP = {"M9_compare_classifiers", "M9_classifier_reports", "M10_M12_cluster_benchmark", "M13_sweep_k", "M14_project_2d",
         "M15_clonotype_classifier", "M16_binding_classifier", "M17_residue_classifier", "M11_spectral_clustering",
-        "U2_kmer_word2vec", "J14_lineage_trees"}
+        "U2_kmer_word2vec", "J14_lineage_trees", "J14_cluster_trees", "M10_M12_benchmark_by_sample", "M11_spectral_subspace", "C13_knn_recall"}
 
 
 def _plan(spark, name):
@@ -24,10 +27,16 @@ def _plan(spark, name):
 def test_no_cartesian_or_python(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-    if name in ORACLES:
+    if name in ORACLES and name not in PYTHON_TWINS:
         assert not any(p in plan for p in PYTHON_NODES), name
 
 
-@pytest.mark.parametrize("name", ["flagship_pll_by_isotype_family", "J9_substitution_ranks", "J1_G5_position_matrix"])
-def test_model_tables_are_broadcast(spark, name):
-    assert "BroadcastHashJoin" in _plan(spark, name)
+def test_model_tables_are_broadcast(spark):
+    assert "BroadcastHashJoin" in _plan(spark, "J1_G5_position_matrix")
+
+
+def test_sequences_are_scored_without_explode_or_shuffle(spark):
+    assert "Exchange" not in _plan(spark, "E1_pll_context_full_vdj")
+    for name in ("J6_scores_wide", "J4_scores_all_modes"):
+        plan = _plan(spark, name)
+        assert "seq_id" not in "".join(line for line in plan.splitlines() if "Exchange" in line or "posexplode" in line), name
