@@ -15,13 +15,22 @@ from clonalyze.schemas import CONSENSUS_SCHEMA, CONTIG_SCHEMA, LABELLED_SCHEMA,
 
 def _with_id(df: DataFrame, file: Column | None = None) -> DataFrame:
     """``seq_id`` from the file's name and the row's content, so it survives re-runs, other
-    file splits and other folders. Equal rows of one file are told apart by number."""
+    file splits and other folders. Equal rows of one file are told apart by number.
+
+    Rows are numbered inside their input partition and shifted by the equal rows of earlier
+    partitions (a count per content and partition), so a file of a million equal rows spreads over as many tasks as it has splits.
+    """
     names = df.columns
     tagged = df.select("*", F.xxhash64(F.element_at(F.split(F.input_file_name() if file is None else file, "/"), -1),
-                                       *[F.col(f"`{c}`") for c in names]).alias("_content"))
-    same = Window.partitionBy("_content").orderBy("_content")
-    return tagged.withColumn("_nth", F.row_number().over(same)).select(
-        *[F.col(f"`{c}`") for c in names], F.when(F.col("_nth") == 1, F.col("_content")).otherwise(F.xxhash64("_content", "_nth")).alias("seq_id"))
+                                       *[F.col(f"`{c}`") for c in names]).alias("_content"), F.spark_partition_id().alias("_pid"))
+    here = Window.partitionBy("_pid", "_content").orderBy("_content")
+    earlier = Window.partitionBy("_content").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy("_content", "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    shift = (counts.withColumn("_before", F.sum("_n").over(earlier)).filter("_before is not null")
+             .select(F.col("_content").alias("_sc"), F.col("_pid").alias("_sp"), "_before"))
+    numbered = tagged.withColumn("_k", F.row_number().over(here)).join(shift, (F.col("_content") == F.col("_sc")) & (F.col("_pid") == F.col("_sp")), "left")
+    nth = F.col("_k") + F.coalesce("_before", F.lit(0))
+    return numbered.select(*[F.col(f"`{c}`") for c in names], F.when(nth == 1, F.col("_content")).otherwise(F.xxhash64("_content", nth)).alias("seq_id"))
 
 
 def read_sequences(spark: SparkSession, path: str | Sequence[str], col: str = "sequence") -> DataFrame:

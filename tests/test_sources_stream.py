@@ -162,3 +162,22 @@ def test_stream_equals_batch_and_is_incremental(spark):
     a = {(r.sample_id, r.contig_id, r.mode): r.pll for r in got.collect()}
     b = {(r.sample_id, r.contig_id, r.mode): r.pll for r in batch.collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a if a[k] is not None)
+
+
+def test_equal_rows_of_a_file_are_numbered_across_its_splits(spark, tmp_path):
+    """Ids don't depend on the splits, and no task holds all equal rows."""
+    (tmp_path / "a.csv").write_text("sequence\n" + "AAAA\n" * 3000 + "".join(f"C{i}\n" for i in range(500)) + "AAAA\n" * 500 + '""\n' * 700)
+    key, ids = "spark.sql.files.maxPartitionBytes", []
+    old, cost = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("2k", "64m"):
+            spark.conf.set(key, size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            df = S.read_sequences(spark, str(tmp_path / "a.csv"))
+            rows = [(r["sequence"], r["seq_id"]) for r in df.select("sequence", "seq_id").collect()]
+            assert len(rows) == 4700 == len({i for _, i in rows})
+            ids.append(sorted(rows, key=repr))
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert ids[0] == ids[1]
