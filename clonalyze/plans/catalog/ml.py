@@ -99,6 +99,14 @@ def m9r(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+@reg("M9_roc_curves")
+def m9_roc(spark, sf):
+    """ROC points of every model, classes pooled (micro): a row a distinct score, and the start of each curve."""
+    preds = ML.compare_classifiers(fx.vectors(spark, sf), "label", "vec", "seq_id", eval_size=0.2)
+    pooled = preds.select("model", "label", F.posexplode("prob").alias("k", "s")).withColumn("y", (F.col("label") == F.col("k")).cast("int"))
+    return M.roc(pooled, "y", "s", by=["model"])
+
+
 @reg("M10_M12_cluster_benchmark")
 def m12(spark, sf):
     v = fx.vectors(spark, sf)
