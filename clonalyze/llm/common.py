@@ -113,7 +113,7 @@ def hash_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
 class Memo:
     """A worker's bounded memo of two generations: what was used lately survives."""
 
-    SIZE = 1 << 18
+    SIZE = 1 << 16
 
     def __init__(self) -> None:
         self.young: dict = {}
