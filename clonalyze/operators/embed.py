@@ -14,14 +14,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonalyze.functions.residues import ALPHABET
+from clonalyze.session import cut_lineage
 
 POOLING = ["average", "first", "last"]
+SIF_A = 1e-3                    # k-mers of about this share or more are weighed down
+W2V_TOKENS = 5_000_000          # k-mers a Word2Vec partition trains on
+TABLE_BYTES = 64 << 20          # a k-mer table up to this size goes to every task, a larger one is joined
 
 
 def window_text(seq: Column, start: Column, end: Column) -> Column:
@@ -86,13 +92,102 @@ def ensemble_probs(dfs: Sequence[DataFrame], keys: Sequence[str] = ("seq_id", "p
     return u.groupBy(*keys).agg(F.avg("prob").alias("prob"))
 
 
+def kmers(seq: str | Column, k: int) -> Column:
+    """Overlapping k-mers of a sequence (none if it is shorter than ``k``; null stays null)."""
+    c = F.col(seq) if isinstance(seq, str) else seq
+    n = F.length(c) - k + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, k))) \
+        .when(c.isNotNull(), F.array().cast("array<string>"))
+
+
+def kmer_weights(df: DataFrame, seq: str = "sequence", k: int = 3, a: float = SIF_A) -> DataFrame:
+    """U2 ``pooler``, weights: (kmer, n, weight = a / (a + share of the k-mer)) over all sequences.
+
+    Counted with map-side combine; as many rows as there are different k-mers.
+    """
+    counts = cut_lineage(df.select(F.explode(kmers(seq, k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0             # one number
+    return counts.select("kmer", "n", (F.lit(a) / (F.lit(a) + F.col("n") / F.lit(float(total)))).alias("weight"))
+
+
+def weighted_pool(df: DataFrame, table: DataFrame, seq: str = "sequence", id: str = "seq_id", k: int = 3, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """(id, vec): sum of weight times vector over a sequence's k-mers, divided by their number.
+
+    ``table`` holds (kmer, weight, vec). K-mers without a row count as zero vectors; a sequence without k-mers is null.
+    ``id`` is unique. A table of at most ``table_bytes`` is read by every task; a larger one is joined to the exploded
+    k-mers, summed with map-side combine.
+    """
+    one = table.select("vec").first()
+    dims = len(one[0]) if one else 0
+    rows = df.select(id, F.col(seq).alias("_s"))
+    if table.count() * 8 * max(dims, 1) <= table_bytes:
+        held = table.select("kmer", "weight", "vec").collect()      # checked size
+        index = {r.kmer: i for i, r in enumerate(held)}
+        matrix = np.vstack([np.zeros((0, dims))] + [np.asarray(r.vec) * r.weight for r in held] + [np.zeros(dims)])
+
+        @F.pandas_udf("array<double>")
+        def pooled(s: pd.Series) -> pd.Series:
+            none = len(index)
+            return pd.Series([matrix[[index.get(x[i:i + k], none) for i in range(len(x) - k + 1)]].sum(axis=0) / (len(x) - k + 1)
+                              if x is not None and len(x) >= k else None for x in s], dtype=object)
+
+        return rows.select(id, pooled("_s").alias("vec"))
+    hits = rows.select(id, F.explode(kmers("_s", k)).alias("kmer")).groupBy(id, "kmer").agg(F.count(F.lit(1)).alias("_n")).join(table, "kmer")
+    sums = hits.groupBy(id).agg(vector_to_array(Summarizer.sum(array_to_vector(F.transform("vec", lambda x: x * F.col("weight") * F.col("_n"))))).alias("_v"))
+    n = F.length("_s") - k + 1
+    zero = F.array_repeat(F.lit(0.0), dims)
+    return (rows.join(sums.withColumnRenamed(id, "_id"), F.col(id) == F.col("_id"), "left")
+            .select(id, F.when(n > 0, F.transform(F.coalesce("_v", zero), lambda x: x / n)).alias("vec")))
+
+
+def second_moment(df: DataFrame, vec: str = "vec") -> np.ndarray:
+    """Sum of the vectors' outer products: one square of the dimensions from each task, added by row in Spark.
+
+    Null vectors take no part. The driver gets dimensions squared numbers, whatever the number of rows.
+    """
+    def partial(batches):
+        total = None
+        for b in batches:
+            if len(b):
+                x = np.vstack(b["vec"].to_numpy())
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": range(len(total)), "v": list(total)})
+
+    part = df.filter(F.col(vec).isNotNull()).select(F.col(vec).alias("vec")).mapInPandas(partial, "i int, v array<double>")
+    rows = part.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).orderBy("i").collect()
+    return np.array([r.v for r in rows])
+
+
+def remove_common(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """Vectors without their part along the leading axis of all rows (first eigenvector of the uncentred second moment)."""
+    moment = second_moment(df, vec)
+    if not len(moment):
+        return df
+    axis = np.linalg.eigh(moment)[1][:, -1]
+    u = F.array(*[F.lit(float(x)) for x in axis])
+    along = F.aggregate(F.zip_with(vec, u, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cols = [c for c in df.columns if c != vec]
+    # the length along the axis is a column of its own, computed once a row
+    return df.select(*cols, vec, along.alias("_along")).select(*cols, F.zip_with(vec, u, lambda x, y: x - F.col("_along") * y).alias(vec))
+
+
+def pooler(df: DataFrame, table: DataFrame, seq: str = "sequence", id: str = "seq_id", k: int = 3) -> DataFrame:
+    """U2 ``pooler`` (third kind of pooling): inverse-frequency weighted mean of k-mer vectors, common axis removed.
+
+    ``table`` holds (kmer, vec), e.g. Word2Vec's ``getVectors``; weights are counted over ``df``.
+    """
+    weighed = kmer_weights(df, seq, k).join(table.select("kmer", "vec"), "kmer").select("kmer", "weight", "vec")
+    return remove_common(cut_lineage(weighted_pool(df, cut_lineage(weighed), seq, id, k)))
+
+
 def kmer_word2vec(df: DataFrame, seq: str = "sequence", k: int = 3, size: int = 32, seed: int = 42):
     """U2 (learned): ``Word2Vec`` over overlapping k-mers; returns (model, vectors)."""
     from pyspark.ml.feature import Word2Vec
 
-    kmers = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: F.substring(F.col(seq), i, k))
-    words = df.withColumn("_kmers", kmers)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # as many tasks as a shuffle of the input has
+    words = df.withColumn("_kmers", F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: F.substring(F.col(seq), i, k)))
+    tokens = words.agg(F.sum(F.size("_kmers"))).first()[0] or 0
+    parts = max(1, -(-tokens // W2V_TOKENS))     # every partition trains a model of its own that is averaged: no more than the tokens need
     model = Word2Vec(vectorSize=size, minCount=1, seed=seed, numPartitions=parts, inputCol="_kmers", outputCol="_w2v").fit(words)
     out = model.transform(words).withColumn("vec", vector_to_array("_w2v")).drop("_kmers", "_w2v")
     return model, out

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clonalyze.functions.residues import IGNORE
 from clonalyze.operators.joins import null_safe_join
 
 
@@ -156,6 +157,13 @@ def binary_summary(df: DataFrame, y: str = "label", s: str = "score", by: Sequen
                       F.try_divide(F.col("ap_num"), F.col("P")).alias("aupr"), "P", "N")
 
 
+def unpadded(df: DataFrame, labels: str, scores: str, keep: Sequence[str] = (), y: str = "label", s: str = "score") -> DataFrame:
+    """One row a token of padded label arrays (H13), those with the ignore marker left out; ``scores`` has an
+    entry for every label, specials and pads included."""
+    tokens = df.select(*keep, F.explode(F.arrays_zip(F.col(labels).alias("y"), F.col(scores).alias("s"))).alias("_t"))
+    return tokens.select(*keep, F.col("_t.y").alias(y), F.col("_t.s").alias(s)).filter(F.col(y) != IGNORE)
+
+
 def binary_metrics(df: DataFrame, y: str = "label", s: str = "score", pred: str | None = None,
                    by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1, AUC, AUPR (average precision), MCC and accuracy.

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from clonalyze.operators.corpus import hash_split, unit_hash
 from clonalyze.operators.dedupe import rank_within
 from clonalyze.operators.joins import null_safe_join
+from clonalyze.functions.residues import mask_render
 from clonalyze.operators.metrics import adjusted_rand_index
-from clonalyze.session import materialize
+from clonalyze.session import materialize, release
 
 
 def encode_labels(df: DataFrame, col: str, out: str = "label_idx") -> DataFrame:
@@ -97,6 +98,40 @@ def classifiers(n_features: int, n_classes: int, seed: int = 42) -> dict:
     }
 
 
+def log_loss(scored: DataFrame, label: str = "label", prob: str = "probability") -> float | None:
+    """Mean negative log probability of the true class (probabilities bounded away from 0); None without rows."""
+    p = F.get(vector_to_array(prob), F.col(label).cast("int"))
+    return scored.agg(F.avg(-F.ln(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-15))))).first()[0]
+
+
+def fit_early_stopped(est: MultilayerPerceptronClassifier, train: DataFrame, id: str = "seq_id", step: int = 10, patience: int = 3,
+                      min_delta: float = 1e-3, held_out: float = 0.2, seed: str = "42") -> tuple:
+    """M4 with early stop: rounds of ``step`` iterations, each starting from the weights of the one before, watched on a
+    hash share of the training rows.
+
+    Stops once ``patience`` rounds in a row have not lowered the best validation loss by ``min_delta``, or after
+    ``est``'s maxIter. Returns (model of the best round, [(round, loss, kept)]). Without validation rows it is one plain fit.
+    """
+    split = materialize(hash_split(train, id, [("watch", held_out), ("fit", 1 - held_out)], salt=f"{seed}:watch"))
+    fit, watch = split.filter("split = 'fit'"), split.filter("split = 'watch'")
+    rounds, best, history = max(1, -(-est.getMaxIter() // step)), None, []
+    if watch.isEmpty() or fit.isEmpty():
+        release(split)
+        return est.fit(train), history
+    warm = est.copy({est.maxIter: min(step, est.getMaxIter())})
+    for n in range(rounds):
+        model = warm.fit(fit)
+        loss = log_loss(model.transform(watch))
+        history.append((n, loss))
+        if best is None or loss < best[1] - min_delta:
+            best = (n, loss, model)
+        elif n - best[0] >= patience:
+            break
+        warm = warm.copy({warm.initialWeights: model.weights})
+    release(split)
+    return best[2], [(n, loss, n == best[0]) for n, loss in history]
+
+
 def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", id: str = "seq_id", eval_size: float = 0.1,
                         balancing: bool = False, scaling: bool = False, models: Sequence[str] | None = None,
                         seed: str = "42") -> DataFrame:
@@ -122,7 +157,7 @@ def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", i
             tr_src, te_src, col = materialize(random_fourier_features(train, vec)), random_fourier_features(test, vec), "rff"
         tr = tr_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
         te = te_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
-        fitted = est.fit(tr)
+        fitted = fit_early_stopped(est, tr, id, seed=seed)[0] if name == "neural_network" else est.fit(tr)
         pred = fitted.transform(te)
         if "probability" not in pred.columns:
             # margins -> probabilities: a multinomial regression of the training labels on the margins
@@ -216,7 +251,7 @@ def sequence_classifier(df: DataFrame, label: str, seq: str = "sequence", id: st
 def residue_classifier(tokens: DataFrame, seq_key: str = "seq_id", pos: str = "pos", aa: str = "aa", label: str = "y",
                        window: int = 2, eval_size: float = 0.2, seed: str = "11") -> DataFrame:
     """M17 (re-aimed): per-residue classifier on one-hot features of the residue and
-    its +-``window`` neighbours (found by one sort, not by joins); returns (seq, pos, label, score)."""
+    its +-``window`` neighbours (found by one sort, not by joins); returns (seq, pos, aa, label, score)."""
     from pyspark.ml.feature import OneHotEncoder
 
     from pyspark.sql.window import Window
@@ -238,4 +273,15 @@ def residue_classifier(tokens: DataFrame, seq_key: str = "seq_id", pos: str = "p
     pipe = Pipeline(stages=[*idx, ohe, asm, lr])
     model = pipe.fit(split.filter("split = 'train'").withColumn("_y", F.col(label).cast("double")))
     p = model.transform(split.filter("split = 'eval'").withColumn("_y", F.col(label).cast("double")))
-    return p.select(seq_key, pos, F.col(label).cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
+    return p.select(seq_key, pos, aa, F.col(label).cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
+
+
+def render_positive(scored: DataFrame, seq_key: str = "seq_id", pos: str = "pos", aa: str = "aa", score: str = "score") -> DataFrame:
+    """M17 + H16: (seq, rendered, n_positive): residues predicted positive, ``-`` elsewhere, in order of position.
+
+    One row of a sequence's residues is gathered, bounded by its length. Ties of the rounding go to even (H12).
+    """
+    hit = F.struct(F.col(pos).alias("pos"), F.col(aa).alias("aa"), F.bround(F.col(score), 0).cast("int").alias("p"))
+    g = scored.groupBy(seq_key).agg(F.array_sort(F.collect_list(hit)).alias("_t"))
+    return g.select(seq_key, mask_render(F.transform("_t", lambda x: x["aa"]), F.transform("_t", lambda x: x["p"])).alias("rendered"),
+                    F.aggregate("_t", F.lit(0), lambda s, x: s + x["p"]).alias("n_positive"))

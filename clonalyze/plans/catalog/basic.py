@@ -11,8 +11,10 @@ from clonalyze.operators import dedupe as D
 from clonalyze.operators import filters as B
 from clonalyze.operators import joins as J
 from clonalyze.plans.catalog import sqlkit as K
+from clonalyze.plans.catalog.views_sql import AA
 from clonalyze.plans.catalog.views_sql import with_views as W
 from clonalyze.sources import fixtures as fx
+from clonalyze.sources.tables import table
 
 ENTRIES: dict = {}
 
@@ -71,6 +73,12 @@ def b6(spark, sf):
     return B.max_tokens(C(spark, sf).select("seq_id", R.full_vdj().alias("sequence")), "sequence")
 
 
+@reg("B6_max_tokens_documents", f"SELECT doc_id, aa AS sequence FROM (SELECT doc_id, {AA} AS aa FROM documents) d WHERE length(aa) + 2 <= 150", ())
+def b6_documents(spark, sf):
+    """Residues of whole documents as one sequence each: most are over the limit."""
+    return B.max_tokens(table(spark, sf, "documents").select("doc_id", fx.amino_acids(F.col("text")).alias("sequence")), "sequence")
+
+
 @reg("B7_full_vdj", f"SELECT seq_id, {K.FULL} AS full_sequence FROM contigs")
 def b7(spark, sf):
     return C(spark, sf).select("seq_id", R.full_vdj().alias("full_sequence"))

@@ -97,6 +97,24 @@ def h15(spark, sf):
                     _join_ints("t.special_tokens_mask").alias("special_tokens_mask"))
 
 
+_RAW = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+
+
+@reg("H15_tokenize_raw_letters", f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all({_RAW}, '.{{1,148}}')) AS s,
+  CAST(unnest(range(0, len(regexp_extract_all({_RAW}, '.{{1,148}}')))) AS INT) AS win FROM documents),
+f AS (SELECT doc_id, win, {_tok_sql('s', 150)} AS fl FROM w)
+SELECT doc_id, win, array_to_string(list_concat(fl, list_transform(range(150 - len(fl)), lambda x: 1)), ' ') AS input_ids,
+  CAST(len(list_filter(fl, lambda x: x = 3)) AS INT) AS n_unknown FROM f""", ())
+def h15_raw(spark, sf):
+    """All letters of every document in windows of 148: letters that are no residue become the unknown token."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    docs = table(spark, sf, "documents").select("doc_id", letters.alias("s"))
+    w = docs.select("doc_id", F.posexplode(F.regexp_extract_all("s", F.lit(".{1,148}"), F.lit(0))).alias("win", "s"))
+    t = w.select("doc_id", "win", tokenize(F.col("s"), 150)["input_ids"].alias("ids"))
+    return t.select("doc_id", F.col("win").cast("int").alias("win"), _join_ints("ids").alias("input_ids"),
+                    F.size(F.filter("ids", lambda x: x == 3)).cast("int").alias("n_unknown"))
+
+
 def _mlm_sql() -> str:
     h = "md5(concat_ws(':', CAST(seq_id AS VARCHAR), CAST(i - 1 AS VARCHAR)))"
 

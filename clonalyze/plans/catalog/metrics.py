@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clonalyze.functions.residues import argmax, binary_class, softmax_array
+from clonalyze.functions.residues import argmax, binary_class, encode_labels, pad_labels, softmax_array
 from clonalyze.operators import metrics as M
 from clonalyze.plans.catalog.views_sql import with_views as W
 from clonalyze.sources import fixtures as fx
@@ -108,6 +108,21 @@ def e16(spark, sf):
     return _r(M.binary_metrics(t, "y", "score", pred="p"), MCOLS)
 
 
+@reg("E16_token_metrics_padded", _metrics_sql("tok"), ("token_labels",),
+     extra="""lists AS (SELECT list(CASE WHEN label = 'P' THEN 1 ELSE 0 END ORDER BY pos) AS l, list(prob ORDER BY pos) AS s FROM token_labels GROUP BY seq_id),
+padded AS (SELECT list_concat(list_concat([-100], l), list_transform(range(149 - len(l)), lambda x: -100)) AS l,
+  list_concat(list_concat([0.0], s), list_transform(range(149 - len(s)), lambda x: 0.0)) AS s FROM lists),
+tok AS (SELECT y, score, CAST(round_even(score, 0) AS INT) AS p FROM (SELECT unnest(l) AS y, unnest(s) AS score FROM padded) u WHERE y <> -100)""")
+def e16_padded(spark, sf):
+    """The metrics from label arrays with specials and pads, which the marker leaves out (windows are shorter than 148)."""
+    t = fx.token_labels(spark, sf).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "prob"))).alias("_t"))
+    pads = F.array_repeat(F.lit(0.0), F.greatest(F.lit(149) - F.size("_t"), F.lit(0)))
+    arrays = t.select(pad_labels(encode_labels(F.transform("_t", lambda x: x["label"]))).alias("labels"),
+                      F.concat(F.array(F.lit(0.0)), F.slice(F.transform("_t", lambda x: x["prob"]), 1, 148), pads).alias("scores"))
+    tokens = M.unpadded(arrays, "labels", "scores", y="y").withColumn("p", binary_class("score"))
+    return _r(M.binary_metrics(tokens, "y", "score", pred="p"), MCOLS)
+
+
 @reg("E17_H12_sequence_metrics", _metrics_sql("sb"), ("scored_binary",),
      extra="sb AS (SELECT label AS y, score, CAST(round_even(score, 0) AS INT) AS p FROM scored_binary)")
 def e17(spark, sf):

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,18 @@ def m2(spark, sf):
     return o.groupBy("label").agg(F.count("*").cast("long").alias("n"))
 
 
+_U0 = "(CAST(('0x' || substr(md5(concat_ws(':', '0', CAST(id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+@reg("M2_oversample_rows", f"""WITH c AS (SELECT label, count(*) AS n FROM scored_binary GROUP BY label),
+r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY {_U0}, id) AS k FROM scored_binary)
+SELECT r.label, r.id, CAST((SELECT max(n) FROM c) // n + CASE WHEN k <= (SELECT max(n) FROM c) % n THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM r JOIN c USING (label)""", ("scored_binary",))
+def m2_rows(spark, sf):
+    """How often every row of every class is taken."""
+    return ML.oversample(fx.scored_binary(spark, sf), "label", "id").groupBy("label", "id").agg(F.count("*").alias("copies"))
+
+
 _U = "(CAST(('0x' || substr(md5(concat_ws(':', '42', CAST(seq_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
@@ -74,6 +87,17 @@ def m7(spark, sf):
                                          F.round(F.count("*") / F.lit(float(total)) / 64.0, 6).alias("prior"))
 
 
+@reg("M4_early_stop")
+def m4(spark, sf):
+    """Validation loss of every round of the network until it stops; the kept round is marked."""
+    v = fx.vectors(spark, sf)
+    n = v.select(F.size("vec")).first()[0]
+    est = ML.classifiers(n, v.agg(F.max("label")).first()[0] + 1)["neural_network"]
+    train = v.select("seq_id", F.col("label").cast("double").alias("label"), array_to_vector("vec").alias("features"))
+    _, history = ML.fit_early_stopped(est, train)
+    return spark.createDataFrame(history, "round int, loss double, kept boolean")
+
+
 @reg("M9_compare_classifiers")
 def m9(spark, sf):
     preds = ML.compare_classifiers(fx.vectors(spark, sf), "label", "vec", "seq_id", eval_size=0.2, scaling=True)
@@ -159,3 +183,10 @@ def m17(spark, sf):
     t = fx.token_labels(spark, sf).withColumn("y", (F.col("label") == "P").cast("int"))
     p = ML.residue_classifier(t, "seq_id", "pos", "aa", "y")
     return M.binary_metrics(p, "label", "score")
+
+
+@reg("M17_H16_render_positive")
+def m17_render(spark, sf):
+    """Held-out heavy chains with the residues the classifier predicts positive, ``-`` elsewhere."""
+    t = fx.token_labels(spark, sf).withColumn("y", (F.col("label") == "P").cast("int"))
+    return ML.render_positive(ML.residue_classifier(t, "seq_id", "pos", "aa", "y"))

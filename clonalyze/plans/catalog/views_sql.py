@@ -38,6 +38,9 @@ repertoire AS (SELECT seq_id, sample_id, substr(barcode, 1, length(barcode) - 2)
   CAST(seq_id % 15 AS INT) AS shm_count
 FROM contigs WHERE chain = 'IGH')"""
 
+_VGENE_REFERENCES = """
+vgene_references AS (SELECT *, hc_fwr1 || '..' || hc_cdr1 || '.' || translate(hc_fwr2 || hc_cdr2 || hc_fwr3, 'ASGTLV', 'SATGVL') AS vgene_ref_aa FROM repertoire)"""
+
 _LINEAGE_NODES = """
 lineage_s AS (SELECT seq_id, concat(fwr1, cdr1, fwr2, cdr2, fwr3, cdr3, fwr4) AS q FROM contigs WHERE chain = 'IGH'),
 lineage_n AS (SELECT 1 AS label UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6),
@@ -72,6 +75,7 @@ vectors AS (SELECT vec_id AS seq_id, CAST(embedding AS DOUBLE[]) AS vec, label F
 VIEW_SQL = {
     "contigs": ((), _CONTIGS),
     "repertoire": (("contigs",), _REPERTOIRE),
+    "vgene_references": (("repertoire",), _VGENE_REFERENCES),
     "lineage_nodes": (("contigs",), _LINEAGE_NODES),
     "lineage_edges": (("lineage_nodes",), _LINEAGE_EDGES),
     "token_labels": (("contigs",), _TOKEN_LABELS),

@@ -30,6 +30,20 @@ def embed(contigs: DataFrame, modes: Sequence[str] = EMBED_MODES, how: str = "av
     return x.select(*keys, "mode", onehot_pool(F.col("_w"), how).alias("vec"))
 
 
+def unrecombined_references(refs: DataFrame, reference: str = "vgene_ref_aa") -> DataFrame:
+    """J8 (un-recombined): V gene references without alignment dots, one row per (c_gene, clonotype,
+    reference) keeping the first; rows without a reference are left out."""
+    g = refs.select("seq_id", "sample_id", "barcode", F.col("vdj_cgene").alias("c_gene"), "raw_clonotype_id",
+                    F.replace(F.col(reference), F.lit("."), F.lit("")).alias("germline"))
+    return keep_first(g.filter(F.col("germline").isNotNull()), ["c_gene", "raw_clonotype_id", "germline"], "seq_id")
+
+
+def unrecombined_embed(refs: DataFrame, how: str = "average", reference: str = "vgene_ref_aa") -> DataFrame:
+    """J8 (un-recombined): the references' vectors of the one-hot provider."""
+    g = unrecombined_references(refs, reference)
+    return g.select("seq_id", "c_gene", "raw_clonotype_id", onehot_pool(F.col("germline"), how).alias("vec"))
+
+
 def germline_embed(rep: DataFrame, how: str = "average") -> DataFrame:
     """Germline references without gaps (H6), one row per (c_gene, clonotype,
     reference) keeping the first (F2), embedded with the one-hot provider."""

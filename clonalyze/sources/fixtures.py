@@ -113,6 +113,12 @@ def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vgene_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One V gene reference per heavy chain, with alignment dots (null without the V part)."""
+    ref = F.concat(F.col("hc_fwr1"), F.lit(".."), F.col("hc_cdr1"), F.lit("."), F.translate(cat("hc_fwr2", "hc_cdr2", "hc_fwr3"), SUBSTITUTE_FROM, SUBSTITUTE_TO))
+    return repertoire(spark, sf_dir).withColumn("vgene_ref_aa", ref)
+
+
 def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six nodes per tree; label 1 is the observed sequence, 6 the germline root."""
     s = (contigs(spark, sf_dir)
