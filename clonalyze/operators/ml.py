@@ -27,7 +27,7 @@ from clonalyze.operators.dedupe import rank_within
 from clonalyze.operators.joins import null_safe_join
 from clonalyze.functions.residues import mask_render
 from clonalyze.operators.metrics import adjusted_rand_index
-from clonalyze.session import materialize, release
+from clonalyze.session import cut_lineage, materialize, release
 
 
 def encode_labels(df: DataFrame, col: str, out: str = "label_idx") -> DataFrame:
@@ -167,7 +167,11 @@ def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", i
         prob = vector_to_array("probability")
         p = pred.select(F.lit(name).alias("model"), id, F.col("label").cast("int").alias("label"),
                         F.col("prediction").cast("int").alias("pred"), prob.alias("prob"))
+        p = cut_lineage(p)                                   # predicted once, whatever is evaluated on it
+        if tr_src is not train:
+            release(tr_src)
         out = p if out is None else out.unionByName(p)
+    release(train, test)
     return out
 
 
