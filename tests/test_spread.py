@@ -71,3 +71,36 @@ def test_the_matrix_is_rounded_once_a_context(spark):
     model, res = ContextModel().fit(seqs.limit(2)), residues(seqs, "sequence")
     whole = {(r.seq_id, r.pos): [round(x, 3) for x in r.probs] for r in model.matrix(res).collect()}
     assert {(r.seq_id, r.pos): r.probs for r in model.matrix(res, digits=3).collect()} == whole
+
+
+def test_equal_surroundings_are_one_training_row(spark, monkeypatch):
+    from clonalyze.operators import ml as ML
+
+    rng, seen, keep = random.Random(4), [], ML.cut_lineage
+    monkeypatch.setattr(ML, "cut_lineage", lambda df: seen.append(keep(df)) or seen[-1])
+    rows = []
+    for s in range(200):
+        seq = "".join(rng.choices("AC", k=20))
+        rows += [(s, i, c, int(i > 0 and seq[i - 1] == "A")) for i, c in enumerate(seq)]
+    p = ML.residue_classifier(spark.createDataFrame(rows, "seq_id long, pos int, aa string, y int"), window=1)
+    assert all((r.score > 0.5) == bool(r.label) and 0 <= r.score <= 1 for r in p.collect())
+    assert len(seen) == 1 and seen[0].count() <= 3 * 3 * 2 * 2
+
+
+def test_a_query_is_sent_to_bins_and_not_to_every_cell(spark, monkeypatch):
+    import numpy as np
+
+    from clonalyze.operators import graph as G
+
+    x = np.random.default_rng(5).normal(size=(1500, 6))
+    df = spark.createDataFrame([("g", i, v.tolist()) for i, v in enumerate(x)], "g string, id long, vec array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    exact = {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i])[:5]}
+    monkeypatch.setattr(G, "BLOCK_ROWS", 256)
+    for recall, least in ((1, 1.0), (0.9, 0.85)):
+        e = G.knn(df, "g", "id", "vec", 5, recall=recall, cell_rows=16)
+        assert sum((r.src, r.dst) in exact for r in e.collect()) >= least * len(exact)
+    sent = [G._cells(np.eye(G.MAX_BITS, 6), x.mean(0), np.zeros(G.MAX_BITS + 1, int), np.full(G.MAX_BITS + 1, np.finfo(float).max),
+                     [pa.RecordBatch.from_pydict({"grp": ["g"] * 9, "id": list(range(9)), "vec": x[:9].tolist(), "bits": [6] * 9})])]
+    assert sum(b.num_rows for g in sent for b in g) == 9
