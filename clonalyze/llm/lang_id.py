@@ -5,10 +5,10 @@ start marks and one end mark). All models share sorted hash arrays, one per n-gr
 64-bit hashes of the n-grams, and for each the interpolated log probability in every
 language; a second array per order holds the interpolation weights of the contexts, for
 n-grams that no language has seen. A text goes to the language of the lowest cross-entropy
-per character; it is rejected if that is above what texts of the language reach in a
-calibration fold.
+per character; it is rejected if that is above what texts of the language reach under models
+of the other half of the texts.
 
-Every n-gram of the counted rows is kept, and discounts, continuation counts and context
+Every n-gram of every row is kept, and discounts, continuation counts and context
 totals come from all of them, in Spark. The arrays are written to the shared folder, sorted
 by hash; tasks read them from there, whole while they are small and by row group above that.
 """
@@ -29,13 +29,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonalyze.llm.common import bounded_batches, broadcast_if_small, passed_through, shared_path, staged
+from clonalyze.llm.common import bounded_batches, passed_through, shared_path, staged
 from clonalyze.llm.warc import open_store
 
 ORDER = 4
 CACHE_BYTES = 48 << 20      # of one array that a worker holds; larger ones are read by row group
 GROUP_BYTES = 4 << 20       # of a row group, about
-CALIBRATION_ROWS = 4000
 UNKNOWN = "und"
 _START, _END = "\x02", "\x03"
 _PLAIN = re.compile("[a-zß-öø-ɏ]+")
@@ -386,26 +385,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           order: int = ORDER) -> LanguageModels | None:
     """Models from every row of ``docs`` with text and language; None without such rows.
 
-    About ``CALIBRATION_ROWS`` rows, a sixteenth at most (by hash of identifier and text), calibrate the
-    rejection limits and the scores instead of being counted, whatever the size of ``docs``. Rows of a
-    language that has no others are counted and don't calibrate.
+    Every row is counted, and every row calibrates the rejection limits and the scores: the texts are halved by hash, and
+    each half is scored by models of the other, so no row is judged by its own counts. Copies of a text are in
+    one half. Rows of a language that the other half doesn't have don't calibrate.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
-                       F.pmod(F.xxhash64(F.lit("calibration"), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")), F.lit(1 << 30)).alias("_h")
-                       ).filter("lang is not null and text is not null")
-    share = min(1 / 16, CALIBRATION_ROWS / max(1, rows.count()))
-    picked = F.col("_h") < int(share * (1 << 30))
-    learned = broadcast_if_small(staged(rows.groupBy("lang").agg(F.count_if(~picked).alias("n")).filter("n > 0").select("lang", F.lit(True).alias("_learned")), "lang-learned"))
-    rows = rows.join(learned, "lang", "left").withColumn("_held", picked & F.col("_learned").isNotNull())
-    counted = rows.filter("not _held").select("lang", "text").mapInArrow(_count_grams(order), "lang string, gram string, n bigint")
-    grams = staged(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
-    models = build_shards(grams, order)
+    half = F.pmod(F.xxhash64(F.lit("calibration"), F.col(f"`{text_col}`")), F.lit(2)).cast("string")
+    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), half.alias("_half")).filter("lang is not null and text is not null")
+    counted = rows.select(F.concat("_half", "lang").alias("lang"), "text").mapInArrow(_count_grams(order), "lang string, gram string, n bigint")
+    own = F.expr("substring(lang, 2)").alias("lang")
+    halves = staged(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select(F.substring("lang", 1, 1).alias("_half"), own, "gram", "n"), "lang-halves")
+    models = build_shards(staged(halves.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams"), order)
     if models is None:
         return None
-    sample = rows.filter("_held").select("lang", "text")
-    calibrate(models, staged(_entropies(sample, models), "lang-calibration").toArrow())
+    parts = []
+    for h in "01":
+        other = build_shards(halves.filter(F.col("_half") != h).drop("_half"), order)
+        if other is not None:
+            judged = rows.filter((F.col("_half") == h) & F.col("lang").isin(other.langs)).select("lang", "text")
+            parts.append(_fit_sums(_entropies(judged, other), other.langs))
+    calibrate(models, parts)
     return models
 
 
@@ -419,24 +419,43 @@ def _entropies(rows: DataFrame, models: LanguageModels) -> DataFrame:
     return passed_through(rows, ["text"], compute, [("entropies", "array<double>"), ("chars", "bigint")]).select("lang", "entropies", "chars")
 
 
-def calibrate(models: LanguageModels, sample: pa.Table) -> None:
-    """Rejection limits (mean plus four deviations of a language's own texts) and the scores' sharpness."""
-    at = {x: i for i, x in enumerate(models.langs)}
-    rows = [(at[l], np.array(h)) for l, h, n in zip(*(sample.column(i).to_pylist() for i in range(3)), strict=True) if n and l in at]
+SHARPNESS = (0.5, 1, 2, 4, 8, 16, 32)
+
+
+def _fit_sums(scored: DataFrame, langs: list[str]) -> list:
+    """A row a language: number, sum and sum of squares of its texts' own cross-entropies, and their log likelihood at every sharpness."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.greater(b.column("chars"), 0))
+            if not b.num_rows:
+                continue
+            h = b.column("entropies").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            truth = pc.index_in(b.column("lang"), value_set=pa.array(langs)).to_numpy(zero_copy_only=False)
+            own = h[np.arange(len(h)), truth]
+            cols = [np.ones(len(h)), own, own ** 2]
+            for sharp in SHARPNESS:
+                z = (h.min(1)[:, None] - h) * sharp
+                p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+                cols.append(np.log(np.maximum(p[np.arange(len(h)), truth], 1e-9)))
+            there = np.unique(truth)
+            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in there]), *(pa.array(np.bincount(truth, c, len(langs))[there]) for c in cols)], names=["lang", *names])
+
+    names = ["n", "h", "hh", *(f"l{i}" for i in range(len(SHARPNESS)))]
+    found = scored.mapInArrow(sums, "lang string, " + ", ".join(f"{c} double" for c in names))
+    return found.groupBy("lang").agg(*(F.sum(c).alias(c) for c in names)).collect()
+
+
+def calibrate(models: LanguageModels, parts: list[list]) -> None:
+    """Rejection limits (mean plus four deviations of a language's own texts) and the scores' sharpness, from ``_fit_sums``."""
+    rows = [r for part in parts for r in part]
     limits = np.full(len(models.langs), np.inf)
+    for i, lang in enumerate(models.langs):
+        n, h, hh = (sum(r[c] for r in rows if r["lang"] == lang) for c in ("n", "h", "hh"))
+        if n >= 5:
+            limits[i] = h / n + 4 * max(0.0, hh / n - (h / n) ** 2) ** 0.5 + 1e-6
     if rows:
-        truth, h = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
-        for i in range(len(models.langs)):
-            own = h[truth == i, i]
-            if len(own) >= 5:
-                limits[i] = own.mean() + 4 * own.std() + 1e-6
-        best = (-np.inf, 1.0)
-        for sharp in (0.5, 1, 2, 4, 8, 16, 32):
-            z = -h * sharp
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-            best = max(best, (float(np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-9)).sum()), float(sharp)))
-        models.sharpness = best[1]
+        likelihood = [sum(r[f"l{i}"] for r in rows) for i in range(len(SHARPNESS))]
+        models.sharpness = float(max(zip(likelihood, SHARPNESS))[1])
     models.limits = limits
 
 

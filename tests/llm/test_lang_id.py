@@ -159,3 +159,16 @@ def test_long_texts_are_not_cut_inside_words(monkeypatch):
     monkeypatch.setattr(G, "_CHUNK", 1 << 20)
     whole = {g: n for b in G._count_grams(4)(iter([batch])) for g, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)}
     assert cut == whole
+
+
+def test_every_row_is_counted_and_calibrates(rows, monkeypatch):
+    words = {"a": ["alpha", "beta", "gamma"], "b": ["uno", "dos", "tres"]}
+    data = [(i, " ".join(words["ab"[i % 2]][(i // 7 + j) % 3] + "xyz"[(i >> j) % 3] for j in range(9)), "ab"[i % 2]) for i in range(400)]
+    counted, judged, build, fit = [], [], G.build_shards, G.calibrate
+    monkeypatch.setattr(G, "build_shards", lambda grams, order: counted.append(grams) or build(grams, order))
+    monkeypatch.setattr(G, "calibrate", lambda models, parts: judged.append(parts) or fit(models, parts))
+    m = G.train(rows("doc_id long, text string, lang string", data))
+    letters = sum(len(w) + 1 for _, t, _ in data for w in t.split())
+    assert counted[0].agg({"n": "sum"}).first()[0] == letters
+    assert sum(r["n"] for part in judged[0] for r in part) == len(data)
+    assert all(x > 0 for x in m.limits) and max(m.limits) < 10
