@@ -101,6 +101,8 @@ def test_a_query_is_sent_to_bins_and_not_to_every_cell(spark, monkeypatch):
     for recall, least in ((1, 1.0), (0.9, 0.85)):
         e = G.knn(df, "g", "id", "vec", 5, recall=recall, cell_rows=16)
         assert sum((r.src, r.dst) in exact for r in e.collect()) >= least * len(exact)
+    twice = df.unionByName(df)
+    assert {(r.src, r.dst) for r in G.knn(twice, "g", "id", "vec", 5, recall=1, cell_rows=16).collect()} == exact
     sent = [G._cells(np.eye(G.MAX_BITS, 6), x.mean(0), np.zeros(G.MAX_BITS + 1, int), np.full(G.MAX_BITS + 1, np.finfo(float).max),
                      [pa.RecordBatch.from_pydict({"grp": ["g"] * 9, "id": list(range(9)), "vec": x[:9].tolist(), "bits": [6] * 9})])]
     assert sum(b.num_rows for g in sent for b in g) == 9
