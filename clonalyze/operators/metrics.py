@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from clonalyze.functions.residues import IGNORE
 from clonalyze.operators.joins import null_safe_join
+from clonalyze.session import cut_lineage
 
 
 def _comb2(c: Column) -> Column:
@@ -99,8 +100,6 @@ def running_totals(df: DataFrame, order: Column, cols: Sequence[str], by: Sequen
     a single-partition window: range-partition on (by, order), sum locally, then add
     the totals of the earlier partitions of the same group (a table of at most
     partitions x groups rows, broadcast)."""
-    from clonalyze.session import cut_lineage
-
     by = list(by)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # checkpointed once: range bounds from sampling differ between evaluations
@@ -145,8 +144,10 @@ def roc(df: DataFrame, y: str = "label", s: str = "score", by: Sequence[str] = (
 def binary_summary(df: DataFrame, y: str = "label", s: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """AUC (Mann-Whitney over distinct scores = trapezoid ROC area) and average
     precision (step sum: sum over thresholds of recall gain x precision)."""
-    by = list(by)
-    c = score_counts(df, y, s, by)
+    return _summary(score_counts(df, y, s, by), s, list(by))
+
+
+def _summary(c: DataFrame, s: str, by: list[str]) -> DataFrame:
     cum = running_totals(c, F.col(s).desc(), ["pos", "neg"], by)
     above = F.col("cum_pos") - F.col("pos")          # positives with a strictly higher score
     per = cum.groupBy(*by).agg(
@@ -173,10 +174,14 @@ def binary_metrics(df: DataFrame, y: str = "label", s: str = "score", pred: str
     by = list(by)
     p = F.col(pred) if pred else F.bround(F.col(s), 0)
     t = F.col(y) == 1
-    h = p == 1
-    counts = df.groupBy(*by).agg(
-        F.sum(F.when(t & h, 1).otherwise(0)).cast("double").alias("tp"), F.sum(F.when(~t & h, 1).otherwise(0)).cast("double").alias("fp"),
-        F.sum(F.when(t & ~h, 1).otherwise(0)).cast("double").alias("fn"), F.sum(F.when(~t & ~h, 1).otherwise(0)).cast("double").alias("tn"))
+    # read once: a row a score and class is all that both halves need
+    rows = df.groupBy(*by, F.col(s).alias("_s"), (p == 1).alias("_h")).agg(
+        F.sum(F.when(t, 1).otherwise(0)).alias("pos"), F.sum(F.when(~t, 1).otherwise(0)).alias("neg"), F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(rows)
+    h = F.col("_h")
+    counts = rows.groupBy(*by).agg(
+        F.sum(F.when(h, F.col("pos")).otherwise(0)).cast("double").alias("tp"), F.sum(F.when(h, F.col("neg")).otherwise(0)).cast("double").alias("fp"),
+        F.sum(F.when(~h, F.col("pos")).otherwise(0)).cast("double").alias("fn"), F.sum(F.when(~h, F.col("neg")).otherwise(0)).cast("double").alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
@@ -185,7 +190,8 @@ def binary_metrics(df: DataFrame, y: str = "label", s: str = "score", pred: str
     mcc = F.when(den > 0, (tp * tn - fp * fn) / den).otherwise(0.0)
     acc = (tp + tn) / (tp + tn + fp + fn)
     m = counts.select(*by, prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), mcc.alias("mcc"), acc.alias("accuracy"))
-    summ = binary_summary(df, y, s, by).select(*by, "auc", "aupr")
+    scores = rows.groupBy(*by, "_s").agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    summ = _summary(scores, "_s", by).select(*by, "auc", "aupr")
     return _merge_rows([m, summ], by).select(*by, "precision", "recall", "f1", "auc", "aupr", "mcc", "accuracy")
 
 
