@@ -6,6 +6,7 @@ depend on partitioning, and need no global sort.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -94,9 +95,20 @@ def _hex_unit(h: Column, k: int) -> Column:
     return F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long") / HASH_SCALE
 
 
+def _hex_below(hex8: Column, share: float) -> Column:
+    """Whether the unit number that a hex string's first 8 digits stand for is below ``share``: digits are compared as text."""
+    first_out = math.ceil(share * HASH_SCALE)
+    return hex8.isNotNull() if first_out >= HASH_SCALE else hex8 < F.lit(f"{max(first_out, 0):08x}")
+
+
 def token_hashes(input_ids: Column, key: Column) -> Column:
-    """md5(key:i) for every token position i."""
-    return F.transform(input_ids, lambda x, i: F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"))))
+    """md5(key:i) for every token position i that holds no special token (null there); ``key`` as text with its colon."""
+    return F.transform(input_ids, lambda x, i: F.when(x >= len(SPECIAL_TOKENS), F.md5(F.concat(key, i.cast("string")))))
+
+
+def hash_key(key: Column) -> Column:
+    """What stands before the position in a token's hash (a null key: nothing)."""
+    return F.coalesce(F.concat(key.cast("string"), F.lit(":")), F.lit(""))
 
 
 def masked_lm(input_ids: Column, key: Column, rate: float = MLM_RATE, hashes: Column | None = None) -> Column:
@@ -106,19 +118,16 @@ def masked_lm(input_ids: Column, key: Column, rate: float = MLM_RATE, hashes: Co
     next 8 the random residue. Labels hold the original id where selected, -100
     elsewhere."""
     n_special = len(SPECIAL_TOKENS)
-    hashes = token_hashes(input_ids, key) if hashes is None else hashes
-
-    def sel(x, h):
-        return (x >= n_special) & (_hex_unit(h, 0) < rate)
+    hashes = token_hashes(input_ids, hash_key(key)) if hashes is None else hashes
 
     def replace(x, h):
-        r = _hex_unit(h, 1)
+        r = F.substring(h, 9, 8)
         rnd = F.lit(n_special) + (_hex_unit(h, 2) * len(ALPHABET)).cast("int")
-        return (F.when(~sel(x, h), x).when(r < MLM_MASK, F.lit(SPECIAL_TOKENS["<mask>"]))
-                .when(r < MLM_MASK + MLM_RANDOM, rnd).otherwise(x))
+        chosen = F.when(_hex_below(r, MLM_MASK), F.lit(SPECIAL_TOKENS["<mask>"])).when(_hex_below(r, MLM_MASK + MLM_RANDOM), rnd).otherwise(x)
+        return F.when(_hex_below(h, rate), chosen).otherwise(x)
 
     masked = F.zip_with(input_ids, hashes, replace)
-    labels = F.zip_with(input_ids, hashes, lambda x, h: F.when(sel(x, h), x).otherwise(F.lit(IGNORE)))
+    labels = F.zip_with(input_ids, hashes, lambda x, h: F.when(_hex_below(h, rate), x).otherwise(F.lit(IGNORE)))
     return F.struct(masked.alias("masked_ids"), labels.alias("mlm_labels"))
 
 
@@ -126,9 +135,9 @@ def training_shards(corpus: DataFrame, seq: str = "sequence", key: str = "seq_id
                     rate: float = MLM_RATE) -> DataFrame:
     """Tokenised, padded sequences with attention / special masks and masked-LM inputs."""
     t = corpus.select(key, tokenize(F.col(seq), max_len).alias("_t"))
-    t = t.select(key, "_t.*")
+    t = t.select(key, "_t.*", hash_key(F.col(key)).alias("_k"))
     # hashes projected once as a column; both output arrays read it
-    t = t.withColumn("_h", token_hashes(F.col("input_ids"), F.col(key)))
+    t = t.withColumn("_h", token_hashes(F.col("input_ids"), F.col("_k")))
     return t.withColumn("_m", masked_lm(F.col("input_ids"), F.col(key), rate, F.col("_h"))).select(
         key, "input_ids", "attention_mask", "special_tokens_mask", "_m.masked_ids", "_m.mlm_labels")
 
