@@ -206,20 +206,26 @@ def nearest_centroid(df: DataFrame, label: str, groups: Sequence[str], seq: str
     by cosine among the classes of its own ``groups`` (e.g. V gene, J gene and CDR3 length,
     inside which clonotypes are told apart). Classes may grow with the data: centroids are a
     table, nothing is fitted on the driver. Returns (id, label, pred); pred is null where
-    the group has no class in the training rows."""
-    d = kmer_features(df, seq, k, dims).select(id, label, *groups, "features")
+    the group has no class in the training rows. Sequences are dealt by group (null is a value like any other), and
+    become vectors where they are averaged and compared; no vector is shuffled."""
+    d = df.select(id, label, F.struct(*groups).alias("_g"), F.col(seq).alias("_s"))
     split = hash_split(d, id, [("eval", eval_size), ("train", 1 - eval_size)], salt=seed)
+
+    def part(name: str) -> DataFrame:
+        return kmer_features(split.filter(F.col("split") == name).drop("split").repartition("_g"), "_s", k, dims)
+
     mean = vector_to_array(Summarizer.mean(F.col("features")))
-    centres = split.filter("split = 'train'").groupBy(*groups, label).agg(mean.alias("_c")).withColumnRenamed(label, "_pred")
-    rows = split.filter("split = 'eval'").select(id, label, *groups, vector_to_array("features").alias("_x"))
-    both = null_safe_join(rows, centres, list(groups), "left")
+    centres = part("train").groupBy("_g", label).agg(mean.alias("_c")).withColumnRenamed(label, "_pred")
+    both = part("eval").select(id, label, "_g", vector_to_array("features").alias("_x")).join(centres, "_g", "left")
 
     def dot(a: str, b: str) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     cosine = dot("_x", "_c") / F.sqrt(dot("_x", "_x") * dot("_c", "_c"))
-    best = F.max_by("_pred", F.struct(cosine, F.hash("_pred")))
-    return both.groupBy(id).agg(F.first(label).alias("label"), best.alias("pred"))
+    # a number a candidate goes into the aggregation, not its vectors
+    near = both.select(id, label, "_pred", cosine.alias("_cos"))
+    best = F.max_by("_pred", F.struct("_cos", F.hash("_pred")))
+    return near.groupBy(id).agg(F.first(label).alias("label"), best.alias("pred"))
 
 
 def project_2d(df: DataFrame, vec: str = "vec", id: str = "seq_id") -> DataFrame:
