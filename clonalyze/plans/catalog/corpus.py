@@ -71,7 +71,7 @@ SELECT seq_id, CAST(len(enc) AS INT) AS n_labels,
   array_to_string(list_transform(list_zip(residues, preds), lambda z: CASE WHEN z[2] = 1 THEN z[1] ELSE '-' END), '') AS rendered
 FROM e""", ("token_labels",))
 def h13(spark, sf):
-    t = fx.token_labels(spark, sf).withColumn("pred", binary_class("prob"))
+    t = fx.token_labels(spark, sf, together=True).withColumn("pred", binary_class("prob"))
     g = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "aa", "label", "pred"))).alias("_t"))
     g = g.select("seq_id", F.transform("_t", lambda x: x["aa"]).alias("residues"), F.transform("_t", lambda x: x["label"]).alias("labels"),
                  F.transform("_t", lambda x: x["pred"]).alias("preds"))

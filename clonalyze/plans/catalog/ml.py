@@ -179,7 +179,7 @@ def m16(spark, sf):
 
 @reg("M17_residue_classifier")
 def m17(spark, sf):
-    t = fx.token_labels(spark, sf).withColumn("y", (F.col("label") == "P").cast("int"))
+    t = fx.token_labels(spark, sf, together=True).withColumn("y", (F.col("label") == "P").cast("int"))
     p = ML.residue_classifier(t, "seq_id", "pos", "aa", "y")
     return M.binary_metrics(p, "label", "score")
 
@@ -187,5 +187,5 @@ def m17(spark, sf):
 @reg("M17_H16_render_positive")
 def m17_render(spark, sf):
     """Held-out heavy chains with the residues the classifier predicts positive, ``-`` elsewhere."""
-    t = fx.token_labels(spark, sf).withColumn("y", (F.col("label") == "P").cast("int"))
+    t = fx.token_labels(spark, sf, together=True).withColumn("y", (F.col("label") == "P").cast("int"))
     return ML.render_positive(ML.residue_classifier(t, "seq_id", "pos", "aa", "y"))
