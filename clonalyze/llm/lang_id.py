@@ -43,6 +43,7 @@ _LETTERS = regex.compile(r"\p{L}+")
 _CHUNK = 1 << 20        # characters worked on at once
 _BLANK = re.compile(r"\s")
 _MEMO = 1 << 18         # words whose scores a worker remembers
+_COUNTED = 150_000      # different words that a worker counts before it hands n-grams on
 
 
 def words_of(text: str) -> list[str]:
@@ -282,9 +283,10 @@ def _count_grams(order: int):
                     end = m.start() if (m := _BLANK.search(text, at + _CHUNK)) else len(text)
                     own.update(words_of(text[at:end]))
                     at = end
-                    if len(own) > 100_000:
-                        yield flush(lang, own)
-                        own.clear()
+                    if sum(map(len, held.values())) > _COUNTED:      # of all languages
+                        most = max(held, key=lambda x: len(held[x]))
+                        yield flush(most, held[most])
+                        held[most].clear()
         for lang, own in held.items():
             if own:
                 yield flush(lang, own)
@@ -404,33 +406,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         other = build_shards(halves.filter(F.col("_half") != h).drop("_half"), order)
         if other is not None:
             judged = rows.filter((F.col("_half") == h) & F.col("lang").isin(other.langs)).select("lang", "text")
-            parts.append(_fit_sums(_entropies(judged, other), other.langs))
+            parts.append(_fit_sums(judged, other))
     calibrate(models, parts)
     return models
 
 
-def _entropies(rows: DataFrame, models: LanguageModels) -> DataFrame:
-    scorer = _Scorer(rows.sparkSession.sparkContext.broadcast(models))
-
-    def compute(texts: pa.Array) -> list[pa.Array]:
-        h, n = scorer.entropies(texts.to_pylist())
-        return [pa.array(list(h), pa.list_(pa.float64())), pa.array(n)]
-
-    return passed_through(rows, ["text"], compute, [("entropies", "array<double>"), ("chars", "bigint")]).select("lang", "entropies", "chars")
+SHARPNESS = (0.5, 1, 2, 4, 8, 16, 32)
 
 
-SHARPNESS = (0.5, 1, 2, 4, 8, 16, 32)
+def _fit_sums(rows: DataFrame, models: LanguageModels) -> list:
+    """A row a language: number, sum and sum of squares of its texts' own cross-entropies, and their log likelihood at every sharpness.
 
+    Texts (lang, text) are scored and summed in one Python stage: a second one would hold a second worker a task.
+    """
+    scorer = _Scorer(rows.sparkSession.sparkContext.broadcast(models))
+    langs = models.langs
 
-def _fit_sums(scored: DataFrame, langs: list[str]) -> list:
-    """A row a language: number, sum and sum of squares of its texts' own cross-entropies, and their log likelihood at every sharpness."""
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pc.greater(b.column("chars"), 0))
-            if not b.num_rows:
+            h, chars = scorer.entropies(b.column("text").to_pylist())
+            h, there = h[chars > 0], pa.array(chars > 0)
+            if not len(h):
                 continue
-            h = b.column("entropies").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            truth = pc.index_in(b.column("lang"), value_set=pa.array(langs)).to_numpy(zero_copy_only=False)
+            truth = pc.index_in(b.column("lang").filter(there), value_set=pa.array(langs)).to_numpy(zero_copy_only=False)
             own = h[np.arange(len(h)), truth]
             cols = [np.ones(len(h)), own, own ** 2]
             for sharp in SHARPNESS:
@@ -441,7 +439,7 @@ def _fit_sums(scored: DataFrame, langs: list[str]) -> list:
             yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in there]), *(pa.array(np.bincount(truth, c, len(langs))[there]) for c in cols)], names=["lang", *names])
 
     names = ["n", "h", "hh", *(f"l{i}" for i in range(len(SHARPNESS)))]
-    found = scored.mapInArrow(sums, "lang string, " + ", ".join(f"{c} double" for c in names))
+    found = rows.mapInArrow(sums, "lang string, " + ", ".join(f"{c} double" for c in names))
     return found.groupBy("lang").agg(*(F.sum(c).alias(c) for c in names)).collect()
 
 

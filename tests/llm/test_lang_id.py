@@ -172,3 +172,41 @@ def test_every_row_is_counted_and_calibrates(rows, monkeypatch):
     assert counted[0].agg({"n": "sum"}).first()[0] == letters
     assert sum(r["n"] for part in judged[0] for r in part) == len(data)
     assert all(x > 0 for x in m.limits) and max(m.limits) < 10
+
+
+def test_a_worker_counts_a_bounded_number_of_words_whatever_the_languages(monkeypatch):
+    import pyarrow as pa
+    langs = [f"l{i}" for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array([" ".join(chr(97 + i % 26) + chr(97 + j) for j in range(20)) for i in range(40)])], names=["lang", "text"])
+
+    def total():
+        out = {}
+        for b in G._count_grams(3)(iter([batch])):
+            for lang, g, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out[lang, g] = out.get((lang, g), 0) + n
+        return out
+
+    held, seen = [], G._windows
+    monkeypatch.setattr(G, "_windows", lambda words, order: held.append(len(words)) or seen(words, order))
+    whole = total()
+    assert held == [20] * 40        # one a language, at the end
+    held.clear()
+    monkeypatch.setattr(G, "_COUNTED", 50)
+    assert total() == whole and sum(held) == 800
+
+    def batches():
+        yield batch
+        raise AssertionError("everything was read before the first n-grams were handed on")
+
+    assert next(G._count_grams(3)(batches())).num_rows
+
+
+def test_calibration_is_one_python_stage(rows, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    data = [(i, "alpha beta gamma" if i % 2 else "uno dos tres", "ab"[i % 2]) for i in range(40)]
+    df = rows("doc_id long, text string, lang string", data).select("lang", "text")
+    m = G.build(counts({"a": ["uno", "dos"], "b": ["alpha", "beta"]}, 3), 3)
+    calls, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **k: calls.append(1) or plain(self, *a, **k))
+    got = {r["lang"]: r for r in G._fit_sums(df, m)}
+    assert len(calls) == 1 and got["a"]["n"] == got["b"]["n"] == 20
