@@ -9,6 +9,8 @@ operators (hash split, distributed ranking, E11-E17).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,10 @@ from clonalyze.operators.dedupe import rank_within
 from clonalyze.operators.joins import null_safe_join
 from clonalyze.functions.residues import mask_render
 from clonalyze.operators.metrics import adjusted_rand_index
-from clonalyze.session import cut_lineage, materialize, release
+from clonalyze.session import cut_lineage, gathered, materialize, release
+
+FITS_AT_ONCE = 4        # independent fits of one table
+RFF_DIMS = 128
 
 
 def encode_labels(df: DataFrame, col: str, out: str = "label_idx") -> DataFrame:
@@ -63,7 +68,7 @@ def standardise(train: DataFrame, df: DataFrame, vec: str = "vec", with_mean: bo
                                          lambda x, sd: F.when(F.lit(with_std) & (sd > 0), x / sd).otherwise(x)))
 
 
-def random_fourier_features(df: DataFrame, vec: str = "vec", dims: int = 128, gamma: float | None = None, seed: int = 42,
+def random_fourier_features(df: DataFrame, vec: str = "vec", dims: int = RFF_DIMS, gamma: float | None = None, seed: int = 42,
                             out: str = "rff") -> DataFrame:
     """M5 (RBF kernel): z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi),
     so that z(x).z(y) approximates exp(-gamma |x - y|^2); a linear model on z acts
@@ -90,8 +95,8 @@ def classifiers(n_features: int, n_classes: int, seed: int = 42) -> dict:
     hidden = max(2, n_features // 2)
     return {
         "neural_network": MultilayerPerceptronClassifier(layers=[n_features, hidden, n_classes], maxIter=3 * n_features, seed=seed),
-        "svm": OneVsRest(classifier=LinearSVC(maxIter=50)),
-        "svm_rbf": OneVsRest(classifier=LinearSVC(maxIter=50)),          # on random Fourier features
+        "svm": OneVsRest(classifier=LinearSVC(maxIter=50), parallelism=FITS_AT_ONCE),
+        "svm_rbf": OneVsRest(classifier=LinearSVC(maxIter=50), parallelism=FITS_AT_ONCE),          # on random Fourier features
         "random_forest": RandomForestClassifier(numTrees=100, seed=seed),
         "naive_bayes": NaiveBayes(modelType="gaussian"),
         "logistic_regression": LogisticRegression(maxIter=100),
@@ -148,13 +153,13 @@ def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", i
     n_classes = df.agg(F.max(label)).first()[0] + 1
     fam = classifiers(n_features, n_classes)
     out = None
-    train, test = materialize(train), materialize(test)      # every model is fitted on the same kept rows
+    train, test = gathered(train, n_features), gathered(test, n_features)      # every model is fitted on the same kept rows
     for name in models or list(fam):
         est = fam[name]
         col = vec
         tr_src, te_src = train, test
         if name == "svm_rbf":   # projected once, kept for the iterative fits
-            tr_src, te_src, col = materialize(random_fourier_features(train, vec)), random_fourier_features(test, vec), "rff"
+            tr_src, te_src, col = gathered(random_fourier_features(train, vec), RFF_DIMS), random_fourier_features(test, vec), "rff"
         tr = tr_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
         te = te_src.select(id, F.col(label).cast("double").alias("label"), array_to_vector(col).alias("features"))
         fitted = fit_early_stopped(est, tr, id, seed=seed)[0] if name == "neural_network" else est.fit(tr)
@@ -175,12 +180,21 @@ def compare_classifiers(df: DataFrame, label: str = "label", vec: str = "vec", i
     return out
 
 
+def _width(df: DataFrame, vec: str) -> int:
+    """Numbers of a vector; 1 without rows."""
+    one = df.select(vec).first()
+    return len(one[0] or ()) if one else 1
+
+
+def _clusterer(method: str, k: int, seed: int = 42, out: str = "cluster") -> KMeans | BisectingKMeans:
+    return {"kmeans": KMeans(k=k, seed=seed), "bisecting": BisectingKMeans(k=k, seed=seed)}[method].setPredictionCol(out)
+
+
 def cluster(df: DataFrame, method: str, k: int, vec: str = "vec", seed: int = 42, out: str = "cluster") -> DataFrame:
     """K-means or bisecting k-means (the top-down hierarchical counterpart
     of agglomerative clustering) on vectors."""
-    est = {"kmeans": KMeans(k=k, seed=seed), "bisecting": BisectingKMeans(k=k, seed=seed)}[method]
     v = df.withColumn("features", array_to_vector(vec))
-    return est.setPredictionCol(out).fit(v).transform(v).drop("features")
+    return _clusterer(method, k, seed, out).fit(v).transform(v).drop("features")
 
 
 def spectral(edges: DataFrame, k: int, src: str = "src", dst: str = "dst", weight: str = "weight", seed: int = 42) -> DataFrame:
@@ -191,13 +205,17 @@ def spectral(edges: DataFrame, k: int, src: str = "src", dst: str = "dst", weigh
 
 
 def sweep_k(df: DataFrame, truth: str, ks: Sequence[int], vec: str = "vec", method: str = "bisecting") -> DataFrame:
-    """ARI against ``truth`` for every cluster count; one distributed fit per k."""
-    df, rows = materialize(df), None
-    for k in ks:
-        c = cluster(df, method, k, vec)
-        a = adjusted_rand_index(c, truth, "cluster").select(F.lit(k).alias("k"), "ari")
-        rows = a if rows is None else rows.unionByName(a)
-    return materialize(rows)
+    """ARI against ``truth`` for every cluster count; one distributed fit per k.
+
+    The rows are read once for all counts: every model adds its column, and a row a count, class and cluster is counted."""
+    df = gathered(df.select(truth, vec), _width(df, vec))
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = list(pool.map(lambda k: _clusterer(method, k, out=f"_c{k}").fit(df.withColumn("features", array_to_vector(vec))), ks))
+    rows = reduce(lambda x, m: m.transform(x), models, df.withColumn("features", array_to_vector(vec)))
+    found = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("cluster")) for k in ks])
+    counts = cut_lineage(rows.select(truth, F.inline(found)).groupBy("k", truth, "cluster").agg(F.count(F.lit(1)).alias("n")))
+    release(df)
+    return cut_lineage(adjusted_rand_index(counts, truth, "cluster", ["k"], count="n"))
 
 
 def nearest_centroid(df: DataFrame, label: str, groups: Sequence[str], seq: str = "sequence", id: str = "seq_id", k: int = 3,

@@ -19,6 +19,7 @@ from clonalyze.operators.embed import long_form
 from clonalyze.operators.joins import multi_member
 from clonalyze.plans.catalog.views_sql import with_views as W
 from clonalyze.plans.clusters import cluster_benchmark
+from clonalyze.session import cut_lineage
 from clonalyze.sources import fixtures as fx
 from clonalyze.sources.tables import table
 
@@ -108,12 +109,11 @@ def m9r(spark, sf):
     """Report, confusion matrix and micro ROC area of every model, as (model, part, row, col, value)."""
     preds = ML.compare_classifiers(fx.vectors(spark, sf), "label", "vec", "seq_id", eval_size=0.2)
     parts = []
+    conf = cut_lineage(preds.groupBy("model", "label", "pred").agg(F.count("*").alias("n")))     # all that reports need
     for m in ML.classifiers(4, 2):
-        own = preds.filter(F.col("model") == m)
-        rep = M.report(own)
-        parts += [rep.select(F.lit(m).alias("model"), F.lit("report").alias("part"), F.col("row").cast("string").alias("row"), F.lit(c).alias("col"), F.col(c).cast("double").alias("value"))
-                 for c in ("precision", "recall", "f1", "support")]
-    conf = preds.groupBy("model", "label", "pred").agg(F.count("*").alias("n"))
+        rep = M.report(conf.filter(F.col("model") == m), count="n")
+        each = F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in ("precision", "recall", "f1", "support")]))
+        parts.append(rep.select(F.lit(m).alias("model"), F.lit("report").alias("part"), F.col("row").cast("string").alias("row"), each))
     parts.append(conf.select("model", F.lit("confusion").alias("part"), F.col("label").cast("string").alias("row"), F.col("pred").cast("string").alias("col"),
                              F.col("n").cast("double").alias("value")))
     pooled = preds.select("model", "label", F.posexplode("prob").alias("k", "s")).withColumn("y", (F.col("label") == F.col("k")).cast("int"))
